@@ -4,14 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scenelake.llm import lexicon
+from scenelake.llm import chunking, leakage, lexicon, stuffing
 from scenelake.runtime import read
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plots over 2,000 characters and dialogues over 1,500."""
+    return chunking.oversized(read(spark, sf_dir, "metadata"), read(spark, sf_dir, "scenes"))
+
+
+def p5_plot_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every oversized plot."""
+    return chunking.split_texts(read(spark, sf_dir, "metadata"), "tmdb_id", "wiki_plot")
+
+
+def p5_dialogue_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every oversized dialogue."""
+    return chunking.split_dialogues(read(spark, sf_dir, "scenes"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return lexicon.encode_corpus(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids}
-SQL: dict[str, str] = {}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the held-out items they leak."""
+    return leakage.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "heldout_cases")).select("doc_id", "item_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are mainly keywords, links or wares."""
+    return stuffing.spam(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_plot_pieces, p5_dialogue_pieces, p7_ids, p8_found, p9_found)}
+
+_SPOKEN = "array_to_string(list_transform(list_filter(dialogue, lambda d: regexp_matches(coalesce(d.character, ''), '\\S') AND regexp_matches(coalesce(d.line, ''), '\\S')), lambda d: d.character || ': ' || d.line), ' ')"
+SQL: dict[str, str] = {
+    "p5_found": f"""
+        SELECT DISTINCT 'wiki_plot' AS item_kind, tmdb_id AS item_key FROM metadata WHERE length(wiki_plot) > 2000 AND tmdb_id IS NOT NULL
+        UNION ALL SELECT DISTINCT 'dialogue', scene_id FROM scenes WHERE length({_SPOKEN}) > 1500 AND scene_id IS NOT NULL""",
+}
