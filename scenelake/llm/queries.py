@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scenelake.llm import chunking, leakage, lexicon, stuffing
+from scenelake.llm import canonical, chunking, encoding, leakage, lexicon, stuffing
 from scenelake.runtime import read
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled action lines and dialogue lines."""
+    return encoding.garbled(read(spark, sf_dir, "scenes")).select("scene_id", "field_name", "pos").distinct()
+
+
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled lines with the text as far as it can be brought back."""
+    return encoding.restored(read(spark, sf_dir, "scenes"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plots over 2,000 characters and dialogues over 1,500."""
     return chunking.oversized(read(spark, sf_dir, "metadata"), read(spark, sf_dir, "scenes"))
@@ -23,6 +33,12 @@ def p5_dialogue_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.split_dialogues(read(spark, sf_dir, "scenes"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed genres and excluded titles with the reference entry meant, or -1."""
+    plans, genres, titles = (read(spark, sf_dir, t) for t in ("query_plans", "genre_ref", "title_ref"))
+    return canonical.canonical_values(plans, genres, titles).select("plan_id", "field_name", "pos", "ref_id").distinct()
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return lexicon.encode_corpus(read(spark, sf_dir, "documents"))
@@ -38,7 +54,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.spam(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_plot_pieces, p5_dialogue_pieces, p7_ids, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_restored, p5_found, p5_plot_pieces, p5_dialogue_pieces, p6_found, p7_ids, p8_found, p9_found)}
 
 _SPOKEN = "array_to_string(list_transform(list_filter(dialogue, lambda d: regexp_matches(coalesce(d.character, ''), '\\S') AND regexp_matches(coalesce(d.line, ''), '\\S')), lambda d: d.character || ': ' || d.line), ' ')"
 SQL: dict[str, str] = {
