@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +60,38 @@ def publish(spark: SparkSession, payload: bytes, stem: str) -> str:
     return name
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package where they cannot import it already; once for an application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = __name__.partition(".")[0]
+
+    def importable(_, package=package):
+        import importlib.util
+
+        return importlib.util.find_spec(package) is not None
+
+    if not sc.parallelize([0], 1).map(importable).first():
+        root = Path(__file__).resolve().parent
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as archive:
+            for source in sorted(root.rglob("*.py")):
+                archive.write(source, f"{package}/{source.relative_to(root)}")
+        jvm = sc._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/files/{package}-{uuid.uuid4().hex}.zip")
+        out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+        try:
+            out.write(bytearray(held.getvalue()))
+        finally:
+            out.close()
+        sc.addPyFile(path.toString())
+    _shipped.add(sc.applicationId)
+
+
 class TooLarge(ValueError):
     """A side that was to be sent to every executor is over its stated bound."""
 
@@ -71,4 +106,5 @@ def bounded_rows(df: DataFrame, most: int) -> list:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
