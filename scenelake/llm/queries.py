@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scenelake.llm import canonical, chunking, encoding, leakage, lexicon, scans, stuffing
+from scenelake.llm import canonical, chunking, encoding, leakage, lexicon, names, scans, stuffing
 from scenelake.runtime import read
 
 
@@ -18,6 +18,11 @@ def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.repaired_scenes(read(spark, sf_dir, "scenes"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of spellings of one character within a movie."""
+    return names.same_character(read(spark, sf_dir, "characters"), read(spark, sf_dir, "scenes"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Garbled action lines and dialogue lines."""
     return encoding.garbled(read(spark, sf_dir, "scenes")).select("scene_id", "field_name", "pos").distinct()
@@ -64,7 +69,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.spam(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p4_found, p4_restored, p5_found, p5_plot_pieces, p5_dialogue_pieces, p6_found, p7_ids, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p3_found, p4_found, p4_restored, p5_found, p5_plot_pieces, p5_dialogue_pieces, p6_found, p7_ids, p8_found, p9_found)}
 
 _SPOKEN = "array_to_string(list_transform(list_filter(dialogue, lambda d: regexp_matches(coalesce(d.character, ''), '\\S') AND regexp_matches(coalesce(d.line, ''), '\\S')), lambda d: d.character || ': ' || d.line), ' ')"
 SQL: dict[str, str] = {
