@@ -30,7 +30,7 @@ NICKNAMES = {
     "CHARLOTTE": "LOTTIE CHARLIE LOTTE", "CHRISTOPHER": "CHRIS KIT TOPHER", "CORDELIA": "DELIA CORDY", "DOMINIC": "DOM NICK", "DOROTHY": "DOT DOLLY DOTTIE DORA",
     "EDWARD": "ED NED TED EDDIE TEDDY", "ELEANOR": "NELL ELLIE NORA NELLIE", "ELIZABETH": "LIZ BETH LIZZIE BETTY ELIZA BESS", "FRANCIS": "FRANK FRANKIE FRAN", "FREDERICK": "FRED FREDDIE FREDDY RICK",
     "GABRIEL": "GABE", "GWENDOLYN": "GWEN WENDY", "ISABELLA": "IZZY BELLA ISA", "JACQUELINE": "JACKIE", "JOSEPHINE": "JO JOSIE", "JOSHUA": "JOSH",
-    "KATHERINE": "KATE KATIE KATHY KITTY KAY", "LAWRENCE": "LARRY LAURIE", "LEONARD": "LEN LENNY LEO", "MARGARET": "MAGGIE PEGGY MEG MARGE DAISY", "MATILDA": "TILLY MATTIE TILDA",
+    "KATHERINE": "KATE KIT KATIE KATHY KITTY KAY", "LAWRENCE": "LARRY LAURIE", "LEONARD": "LEN LENNY LEO", "MARGARET": "MAGGIE PEGGY MEG MARGE DAISY", "MATILDA": "TILLY MATTIE TILDA",
     "MAXIMILIAN": "MAX", "MICHAEL": "MIKE MICKEY MICK", "NATHANIEL": "NATE NAT NATHAN", "PATRICK": "PADDY PAT RICK", "PENELOPE": "PENNY NELL", "PHILIPPA": "PIP PIPPA",
     "RAYMOND": "RAY", "RICHARD": "DICK RICK RICH RICHIE", "ROBERT": "BOB ROB BOBBY ROBBIE BERT", "ROSALIND": "ROZ ROSE ROSIE LINDY", "SAMUEL": "SAM SAMMY",
     "SUSANNAH": "SUE SUSIE SUSAN", "THEODORE": "TED TEDDY THEO", "THOMAS": "TOM TOMMY", "VICTORIA": "VICKY TORI VIC", "WILLIAM": "BILL WILL BILLY WILLIE LIAM", "WINIFRED": "WINNIE FREDDIE WIN",
@@ -48,7 +48,7 @@ NUMBERS = {w: n for n, words in enumerate("ONE 1ST FIRST,TWO 2ND SECOND,THREE 3R
 _SAME_WORD = {"GREY": "GRAY", "COLOURED": "COLORED", "COLOUR": "COLOR"}
 # Fixed: words that make a name one of an organisation or its staff.
 _BODIES = frozenset("MINING RADIO HOSPITAL FREIGHT SWITCHBOARD DISPATCH OPERATOR CONTROL COMPANY AIRLINES BANK HOTEL POLICE STATION RAILWAY SHIPPING TELEPHONE TOWER".split())
-_LITTLE = frozenset("IN THE A AN WITH W W/ OF ON AND AT".split())
+_LITTLE = frozenset("IN THE A AN WITH W/ OF ON AND AT".split())
 _SUFFIX = re.compile(r"\s*\(?\b(?:CONT(?:INUING|INUED|['’]?D)?|V\.?\s?O\.?|O\.?\s?S\.?|O\.?\s?C\.?|VOICE|PRE-?LAP|ARCHIVE|FILTERED|ON PHONE|OFF)\)\s*")
 
 

@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scenelake.llm import canonical, chunking, encoding, leakage, lexicon, names, scans, stuffing
+from scenelake.llm import canonical, chunking, encoding, leakage, lexicon, linkage, names, scans, stuffing
 from scenelake.runtime import read
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unresolved files with the record of the same movie."""
+    return p1_linked(spark, sf_dir).select("filename", "tmdb_id")
+
+
+def p1_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unresolved files with the record of the same movie and the confidence of the match."""
+    return linkage.link(read(spark, sf_dir, "manifest"), read(spark, sf_dir, "metadata"), read(spark, sf_dir, "characters"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings and action lines with noise of scanning."""
     return scans.noisy_fields(read(spark, sf_dir, "scenes"))
@@ -69,7 +79,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.spam(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p3_found, p4_found, p4_restored, p5_found, p5_plot_pieces, p5_dialogue_pieces, p6_found, p7_ids, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_linked, p2_found, p2_repaired, p3_found, p4_found, p4_restored, p5_found, p5_plot_pieces, p5_dialogue_pieces, p6_found, p7_ids, p8_found, p9_found)}
 
 _SPOKEN = "array_to_string(list_transform(list_filter(dialogue, lambda d: regexp_matches(coalesce(d.character, ''), '\\S') AND regexp_matches(coalesce(d.line, ''), '\\S')), lambda d: d.character || ': ' || d.line), ' ')"
 SQL: dict[str, str] = {
