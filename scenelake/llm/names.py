@@ -122,7 +122,9 @@ class Name:
             self.kind, self.given, self.family, self.rank = "full", a, b, 3
 
 
-parse = lru_cache(maxsize=200_000)(Name)
+@lru_cache(maxsize=200_000)
+def parse(form: str) -> Name:
+    return Name(form)
 
 
 @lru_cache(maxsize=400_000)
@@ -303,7 +305,8 @@ def blocking_keys(forms: list[str]) -> set[str]:
                     for long in _LONG.get(part, ()):
                         keys |= shortened(long)
             if n.given and n.family:
-                keys |= shortened(n.given + n.family) | ({n.nick + n.family} if n.nick else set())
+                for first in {n.given, n.nick, *_LONG.get(n.given, ()), *NICKNAMES.get(n.given, "").split()} - {""}:
+                    keys |= {first[:3] + ">" + n.family[-2:], first[:2] + "<" + n.family[-3:]}
                 keys.add(n.given[0] + "." + n.family[0] + ".")
             if n.first and n.family:
                 keys.add(n.first + "." + n.family[0] + ".")
@@ -312,25 +315,11 @@ def blocking_keys(forms: list[str]) -> set[str]:
             if n.kind == "word" and 2 < len(n.word) < 6:
                 keys.add(n.word[0] + "*")
             if n.kind == "word" and len(n.word) > 6:
+                keys |= {n.word[:3] + ">" + n.word[-2:], n.word[:2] + "<" + n.word[-3:]}
                 keys |= {n.word[:i] for i in range(3, len(n.word) - 2)} | {n.word[i:] for i in range(3, len(n.word) - 2)}
     return keys
 
 
-def compare_profiles(a: list[str], b: list[str], known: frozenset[str]) -> tuple[float, bool]:
-    """Best comparison over all spellings of two profiles; certain if any is."""
-    best, certain = 0.0, False
-    for x, y in product(a, b):
-        score, sure = compare(parse(x), parse(y), known)
-        if score > best:
-            best = score
-        certain = certain or sure
-    return best, certain
-
-
-def rank(forms: list[str]) -> int:
-    return max((parse(f).rank for f in forms), default=0)
-
-
 def spellings(characters: DataFrame, scenes: DataFrame) -> DataFrame:
     """(slug, name, cast) of every distinct non-blank string of the three fields; cast where the cast list spells it so."""
     spoken = scenes.select("slug", F.explode(F.col("dialogue.character")).alias("name"), F.lit(False).alias("cast"))
@@ -355,62 +344,82 @@ def pairs(members: DataFrame) -> DataFrame:
 
 
 def resolve(names: DataFrame) -> DataFrame:
-    """(slug, name, profile) of every spelling."""
+    """(slug, name, profile) of every spelling.
+
+    What two profiles share are the keys of their spellings, and how well they fit
+    is how well their best two spellings do. So spellings are blocked and compared
+    once; each round carries the pairs over to the profiles as they stand then.
+    """
 
     def forms(batches):
         for batch in batches:
             form = [normal(n) for n in batch["name"]]
             yield batch.assign(form=form, parts=[re.findall(r"[^\W\d_]{2,}", f) for f in form])
 
-    spelled = runtime.cut(names.mapInPandas(forms, "slug string, name string, cast boolean, form string, parts array<string>"))
-    distinct = spelled.groupBy("slug", "form").agg(F.flatten(F.collect_set("parts")).alias("parts"))
+    spelled = runtime.cut(names.mapInPandas(forms, "slug string, name string, cast boolean, form string, parts array<string>").withColumn("id", F.xxhash64("slug", "form")))
     established = spelled.where("cast").select("slug", F.explode("parts").alias("part")).distinct().groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") >= ESTABLISHED_IN).select("part")
-    known = distinct.select("slug", "form", F.explode(F.array_distinct("parts")).alias("part")).join(established, "part").groupBy("slug", "form").agg(F.collect_set("part").alias("known"))
-    identified = distinct.select("slug", "form").withColumn("profile", F.xxhash64("slug", "form"))
-    profiles = runtime.cut(identified.join(known, ["slug", "form"], "left").select("slug", "profile", F.array("form").alias("forms"), F.coalesce("known", F.array().cast("array<string>")).alias("known")))
-    steps = runtime.cut(identified.select("slug", F.col("profile").alias("origin"), "profile"))
-    for _ in range(MOST_ROUNDS):
-        moved = runtime.cut(_moves(profiles))
-        if moved.isEmpty():
-            break
-        merged = profiles.join(moved, ["slug", "profile"], "left").withColumn("profile", F.coalesce("target", "profile"))
-        profiles = runtime.cut(merged.groupBy("slug", "profile").agg(F.array_distinct(F.flatten(F.collect_list("forms"))).alias("forms"), F.array_distinct(F.flatten(F.collect_list("known"))).alias("known")))
-        steps = runtime.cut(steps.join(moved, ["slug", "profile"], "left").select("slug", "origin", F.coalesce("target", "profile").alias("profile")))
-    final = steps.select("slug", F.col("origin").alias("id"), "profile")
-    return spelled.select("slug", "name", F.xxhash64("slug", "form").alias("id")).join(final, ["slug", "id"]).select("slug", "name", "profile")
-
-
-def _moves(profiles: DataFrame) -> DataFrame:
-    """(slug, profile, target) of the profiles that one round merges into others."""
+    known = spelled.select("id", F.explode("parts").alias("part")).distinct().join(established, "part").groupBy("id").agg(F.collect_set("part").alias("known"))
+    distinct = runtime.cut(spelled.select("slug", "id", "form").distinct().join(known, "id", "left"))
 
     def keyed(batches):
         for batch in batches:
-            out = [(s, k, p, list(f), list(n), rank(list(f))) for s, p, f, n in zip(batch["slug"], batch["profile"], batch["forms"], batch["known"]) for k in blocking_keys(list(f))]
-            yield pd.DataFrame(out, columns=["slug", "key", "profile", "forms", "known", "rank"])
+            out = [(s, k, i) for s, i, f in zip(batch["slug"], batch["id"], batch["form"]) for k in blocking_keys([f])]
+            yield pd.DataFrame(out, columns=["slug", "key", "id"])
 
-    blocks = profiles.mapInPandas(keyed, "slug string, key string, profile long, forms array<string>, known array<string>, rank int")
-    left = blocks.select("slug", "key", *(F.col(c).alias(f"{c}_a") for c in ("profile", "forms", "known", "rank")))
-    right = blocks.select("slug", "key", *(F.col(c).alias(f"{c}_b") for c in ("profile", "forms", "known", "rank")))
-    met = left.join(right, ["slug", "key"]).where("profile_a < profile_b").drop("key").dropDuplicates(["slug", "profile_a", "profile_b"])
+    blocks = distinct.select("slug", "id", "form").mapInPandas(keyed, "slug string, key string, id long").select(F.xxhash64("slug", "key").alias("key"), "id")
+    met = blocks.join(blocks.select("key", F.col("id").alias("other")), "key").where("id < other").select("id", "other").distinct()
+    left = distinct.select("id", F.col("slug").alias("slug_a"), F.col("form").alias("form_a"), F.col("known").alias("known_a"))
+    right = distinct.select(F.col("id").alias("other"), F.col("slug").alias("slug_b"), F.col("form").alias("form_b"), F.col("known").alias("known_b"))
 
     def judged(batches):
         for batch in batches:
             out = []
-            for s, pa, fa, ka, ra, pb, fb, kb, rb in zip(*(batch[c] for c in ("slug", "profile_a", "forms_a", "known_a", "rank_a", "profile_b", "forms_b", "known_b", "rank_b"))):
-                score, certain = compare_profiles(list(fa), list(fb), frozenset(ka) | frozenset(kb))
+            for a, b, x, y, known_a, known_b in zip(*(batch[c] for c in ("id", "other", "form_a", "form_b", "known_a", "known_b"))):
+                one, two = parse(x), parse(y)
+                score, certain = compare(one, two, frozenset(known_a if known_a is not None else ()) | frozenset(known_b if known_b is not None else ()))
                 if score:
-                    out.append((s, pa, pb, ra, rb, score, certain))
-            yield pd.DataFrame(out, columns=["slug", "a", "b", "rank_a", "rank_b", "score", "certain"])
-
-    matches = runtime.cut(met.mapInPandas(judged, "slug string, a long, b long, rank_a int, rank_b int, score double, certain boolean"))
-    sides = matches.select("slug", F.explode(F.array(F.struct(F.col("a").alias("own"), F.col("b").alias("other"), (F.col("rank_a") <= F.col("rank_b")).alias("poorer"), F.col("rank_b").alias("depth")), F.struct(F.col("b").alias("own"), F.col("a").alias("other"), (F.col("rank_b") <= F.col("rank_a")).alias("poorer"), F.col("rank_a").alias("depth")))).alias("x"), "score", "certain").select("slug", "x.*", "score", "certain")
-    # A profile follows what fits best among the richer ones, if that is one.
-    richer = sides.where("poorer")
-    best = richer.groupBy("slug", "own").agg(F.max(F.struct("score", "depth")).alias("best")).select("slug", "own", "best.*")
-    chosen = richer.join(best, ["slug", "own", "score", "depth"]).groupBy("slug", "own").agg(F.count("*").alias("n"), F.first("other").alias("other")).where("n = 1").select("slug", "own", "other")
-    certain = sides.where("certain").select("slug", "own", "other")
-    both = chosen.unionByName(chosen.select("slug", F.col("other").alias("own"), F.col("own").alias("other"))).unionByName(certain).distinct()
-    least = both.groupBy("slug", "own").agg(F.least(F.min("other"), F.first("own")).alias("target"))
+                    out.append((a, b, one.rank, two.rank, score, certain))
+            yield pd.DataFrame(out, columns=["a", "b", "rank_a", "rank_b", "score", "certain"])
+
+    matches = runtime.cut(met.join(left, "id").join(right, "other").where("slug_a = slug_b").mapInPandas(judged, "a long, b long, rank_a int, rank_b int, score double, certain boolean"))
+    profiles = distinct.select("id", F.col("id").alias("profile"))
+    for _ in range(MOST_ROUNDS):
+        moved = runtime.cut(_moves(matches))
+        if moved.isEmpty():
+            break
+        profiles = runtime.cut(profiles.join(moved, "profile", "left").select("id", F.coalesce("target", "profile").alias("profile")))
+        matches = runtime.cut(_carried(matches, moved))
+    return spelled.select("slug", "name", "id").join(profiles, "id").select("slug", "name", "profile")
+
+
+def _carried(matches: DataFrame, moved: DataFrame) -> DataFrame:
+    """The pairs between profiles after a round, with the richest rank on either side and the best score."""
+    gone = moved.select(F.col("profile").alias("a"), F.col("target").alias("to_a"))
+    gone_b = moved.select(F.col("profile").alias("b"), F.col("target").alias("to_b"))
+    after = matches.join(gone, "a", "left").join(gone_b, "b", "left").select(F.coalesce("to_a", "a").alias("x"), F.coalesce("to_b", "b").alias("y"), "rank_a", "rank_b", "score", "certain")
+    # A profile is as rich as its richest spelling, also where that spelling takes no part in the pair.
+    ends = after.select(F.col("x").alias("p"), F.col("rank_a").alias("r")).unionByName(after.select(F.col("y").alias("p"), F.col("rank_b").alias("r"))).groupBy("p").agg(F.max("r").alias("r"))
+    apart = after.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score", "certain").groupBy("a", "b").agg(F.max("score").alias("score"), F.max("certain").alias("certain"))
+    return apart.join(ends.select(F.col("p").alias("a"), F.col("r").alias("rank_a")), "a").join(ends.select(F.col("p").alias("b"), F.col("r").alias("rank_b")), "b").select("a", "b", "rank_a", "rank_b", "score", "certain")
+
+
+def _moves(matches: DataFrame) -> DataFrame:
+    """(profile, target) of the profiles that one round merges into others."""
+    one = F.struct(F.col("a").alias("own"), F.col("b").alias("other"), (F.col("rank_a") <= F.col("rank_b")).alias("poorer"), F.col("rank_b").alias("depth"))
+    two = F.struct(F.col("b").alias("own"), F.col("a").alias("other"), (F.col("rank_b") <= F.col("rank_a")).alias("poorer"), F.col("rank_a").alias("depth"))
+    sides = matches.select(F.explode(F.array(one, two)).alias("x"), "score", "certain").select("x.*", "score", "certain")
+    # A profile follows what fits best among the richer ones, if that is one; certain pairs merge anyway.
+    fit = F.when(F.col("poorer"), F.struct("score", "depth"))
+    seen = sides.groupBy("own").agg(
+        F.max(fit).alias("best"),
+        F.collect_list(F.when(F.col("poorer") | F.col("certain"), F.struct("score", "depth", "other", "poorer", "certain"))).alias("all"),
+    )
+    tied = F.filter("all", lambda x: x["poorer"] & (x["score"] == F.col("best.score")) & (x["depth"] == F.col("best.depth")))
+    sure = F.transform(F.filter("all", lambda x: x["certain"]), lambda x: x["other"])
+    follows = F.when(F.size(tied) == 1, F.transform(tied, lambda x: x["other"])).otherwise(F.array().cast("array<bigint>"))
+    edges = seen.select("own", F.explode(F.array_distinct(F.concat(follows, sure))).alias("other"))
+    both = edges.unionByName(edges.select(F.col("other").alias("own"), F.col("own").alias("other")))
+    least = runtime.cut(both.groupBy("own").agg(F.least(F.min("other"), F.first("own")).alias("target")))
     # One step along the least neighbours of the least neighbour; what is left over merges in the next round.
-    further = least.select("slug", F.col("own").alias("target"), F.col("target").alias("next"))
-    return least.join(further, ["slug", "target"], "left").select("slug", F.col("own").alias("profile"), F.coalesce("next", "target").alias("target")).where("profile <> target")
+    further = least.select(F.col("own").alias("target"), F.col("target").alias("next"))
+    return least.join(further, "target", "left").select(F.col("own").alias("profile"), F.coalesce("next", "target").alias("target")).where("profile <> target")
