@@ -125,6 +125,8 @@ def title_level(file: Parsed, record: Parsed, common: frozenset[str]) -> int:
     free = list(range(len(file.words)))
     likeness, missed = [], []
     for word in sorted(record.words, key=lambda w: w in common):
+        if missed and missed[0] not in common and not bones(missed[0]).startswith(bones(file.words[-1])):
+            return 1  # another name, and no part of it either
         best = max(((word_likeness(file.words[i], word), -i) for i in free), default=(0.0, 0))
         if best[0] > 0:
             free.remove(-best[1])
@@ -158,7 +160,7 @@ def _remote(a: str, b: str) -> bool:
 
 
 def title_keys(title: Parsed, common: frozenset[str]) -> set[str]:
-    """Passes of blocking: one name by its consonants, whole or without one, with the beginning of another."""
+    """Passes of blocking: one name by its consonants with the beginning of another, and two names in order, each whole or without one consonant."""
     named = [bones(w) for w in title.words if w not in common]
     named = [n for n in named if n]
     if len(named) < 2:
@@ -168,11 +170,16 @@ def title_keys(title: Parsed, common: frozenset[str]) -> set[str]:
         for j, b in enumerate(named):
             if i != j:
                 keys.add(f"{a}|{b[:1]}")
-                if len(a) > 2:
-                    keys |= {f"{a[:k]}{a[k + 1:]}~{b[:2]}" for k in range(len(a))}
+            if i < j:
+                keys |= {f"{x}~{y}" for x in _shortened(a) for y in _shortened(b)}
     return keys
 
 
+def _shortened(consonants: str) -> set[str]:
+    """The consonants and what they become without one, unless one alone would be left."""
+    return {consonants} | ({consonants[:k] + consonants[k + 1 :] for k in range(len(consonants))} if len(consonants) > 2 else set())
+
+
 def year_level(year: int | None, released: int | None) -> int:
     """3 the same year, 2 a year apart, 1 unknown, 0 further apart."""
     if not year or not released:
@@ -284,8 +291,9 @@ def link(manifest: DataFrame, metadata: DataFrame, characters: DataFrame, confid
             for name, title, a, b, released in zip(batch["filename"], batch["title"], batch["film_title"], batch["film_original"], batch["released"]):
                 stem = re.sub(r"\.\w{2,5}$", "", name).replace("-", " ")
                 mine = [parsed(title or ""), parsed(stem)]
-                theirs = [parsed(x) for x in {a or "", b or ""} if x]
-                pairs = [title_level(x, y, common) for x in mine if x.words for y in theirs]
+                theirs = {(tuple(y.words), y.sequel): y for x in (a, b) if x for y in [parsed(x)]}.values()
+                own = {(tuple(x.words), x.sequel, x.cut): x for x in mine if x.words}.values()
+                pairs = [title_level(x, y, common) for x in own for y in theirs]
                 levels.append(0 if pairs and min(pairs) == 0 and any(m.sequel > 1 for m in mine) and max(pairs) < 3 else max(pairs, default=1))
                 year = next((m.year for m in reversed(mine) if m.year), None)
                 years.append(year_level(year, None if pd.isna(released) else int(released)))
