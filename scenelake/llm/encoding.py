@@ -270,7 +270,7 @@ def restored(scenes: DataFrame) -> DataFrame:
     clean = elements(scenes).where(~F.col("value").contains(LOST)).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?U)([\w'’]*[^\x00-\x7F\s]+[\w'’]*)"), 1)).alias("word"))
     vocabulary = (
         clean.where(F.col("word").rlike(r"(?U)^[\p{L}'’]+$")).groupBy("word").count().where("count > 2")
-        .select(F.regexp_replace("word", r"[^\x00-\x7F]", LOST).alias("gap"), "word", "count")
+        .select(F.regexp_replace("word", r"[^\x00-\x7F]", LOST).alias("gap"), "word", "count").where("length(gap) > 1")
         .groupBy("gap").agg(F.max_by("word", F.struct("count", "word")).alias("whole"))
     )
     key = ["scene_id", "field_name", "pos", "value"]
