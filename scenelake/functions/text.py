@@ -173,7 +173,7 @@ def heading_parts(heading) -> Column:
 def sentences(block) -> Column:
     """A block of action as sentences: wrapped lines joined, cut where a sentence ends before a capital, but not after an abbreviation."""
     text = F.trim(F.regexp_replace(_col(block), r"\s*\n\s*", " "))
-    held = F.regexp_replace(text, rf"\b({'|'.join(ABBREVIATIONS)})\.\s+(?=[A-Z])", "$1.\u0001")
+    held = F.regexp_replace(text, rf"\b({'|'.join(ABBREVIATIONS)})\.\s+([A-Z])", "$1.\u0001$2")
     parts = F.split(held, r"(?<=[.!?])\s+(?=[A-Z])")
     return F.filter(F.transform(parts, lambda p: F.translate(F.trim(p), "\u0001", " ")), lambda p: p != "")
 

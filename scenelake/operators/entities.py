@@ -35,17 +35,18 @@ def people_in_queries(people: DataFrame, queries: DataFrame, query_id: str = "qu
     parts = names.select("name", F.size("parts").alias("n"), F.explode("parts").alias("part"))
     words = asked.select("query_id", F.explode("words").alias("part"))
     exact = parts.join(words, "part").groupBy("query_id", "name", "n").count().where("count = n").select("query_id", "name", F.lit("exact").alias("match"))
-    # ratio >= t asks for 2 * min / (a + b) >= t, so lengths must lie close together.
-    pieces = parts.select("name", "n", "part", F.length("part").alias("size"))
+    # ratio >= t asks for 2 * min / (a + b) >= t, so lengths must lie close together. Each distinct pair of words is compared once.
     short = threshold / (2 - threshold)
-    pairs = pieces.join(small(words.select("query_id", F.col("part").alias("word"))), (F.length("word") >= F.col("size") * short) & (F.length("word") * short <= F.col("size")))
+    known = parts.select("part", F.length("part").alias("size")).distinct()
+    pairs = known.join(small(words.select(F.col("part").alias("word")).distinct()), (F.length("word") >= F.col("size") * short) & (F.length("word") * short <= F.col("size")))
 
     def alike(batches):
         for batch in batches:
             keep = [SequenceMatcher(None, a, b).ratio() >= threshold for a, b in zip(batch["part"], batch["word"])]
             yield batch[pd.Series(keep, index=batch.index, dtype=bool)]
 
-    near = pairs.mapInPandas(alike, pairs.schema).groupBy("query_id", "name", "n").agg(F.countDistinct("part").alias("hit")).where("hit = n")
+    close = pairs.mapInPandas(alike, pairs.schema).select("part", "word")
+    near = parts.join(close, "part").join(words.withColumnRenamed("part", "word"), "word").groupBy("query_id", "name", "n").agg(F.countDistinct("part").alias("hit")).where("hit = n")
     fuzzy = near.select("query_id", "name", F.lit("fuzzy").alias("match")).join(exact, ["query_id", "name"], "left_anti")
     return exact.unionByName(fuzzy).join(people.select("name", "movie_id").distinct(), "name").select("query_id", "name", "movie_id", "match")
 

@@ -35,7 +35,11 @@ def people_index(metadata: DataFrame) -> DataFrame:
     """(kind, key, movie_ids): sets of movies by actor, director and genre, keys in lower case."""
     latest = latest_metadata(metadata)
     kinds = {"actor": F.col("cast.name"), "director": F.col("directors"), "genre": F.col("genres")}
-    keys = F.flatten(F.array(*(F.transform(F.coalesce(v, F.array().cast("array<string>")), lambda x, k=k: F.struct(F.lit(k).alias("kind"), F.lower(x).alias("key"))) for k, v in kinds.items())))
+
+    def keyed(kind: str, values):
+        return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.struct(F.lit(kind).alias("kind"), F.lower(x).alias("key")))
+
+    keys = F.flatten(F.array(*(keyed(k, v) for k, v in kinds.items())))
     rows = latest.select(F.col("tmdb_id").alias("movie_id"), F.explode(keys).alias("x")).select("x.kind", "x.key", "movie_id").where("key <> ''")
     return rows.groupBy("kind", "key").agg(F.sort_array(F.collect_set("movie_id")).alias("movie_ids"))
 

@@ -292,9 +292,9 @@ def dense_topk_by_label(spark, sf):
     return S.top(_dense(spark, sf), 3, ["query_id", "label"]).select("query_id", "label", "doc_key", "score", "rank")
 
 
-@query(f"WITH {VECTORS}, scored AS ({DENSE}) SELECT query_id, label, count(*) AS n, round(avg(round((1 + score) / 2, 4)), 4) AS similarity FROM scored GROUP BY ALL")
+@query(f"WITH {VECTORS}, scored AS ({DENSE}) SELECT query_id, label, count(*) AS n, round(avg((1 + score) / 2), 5) AS similarity FROM scored GROUP BY ALL")
 def dense_similarity_score(spark, sf):
-    return _dense(spark, sf).groupBy("query_id", "label").agg(F.count("*").alias("n"), F.round(F.avg(S.similarity("score")), 4).alias("similarity"))
+    return _dense(spark, sf).groupBy("query_id", "label").agg(F.count("*").alias("n"), F.round(F.avg((1 + F.col("score")) / 2), 5).alias("similarity"))
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS norm, round(v[1], 6) AS first FROM (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS v FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))")
@@ -370,12 +370,12 @@ def genre_fail_open(spark, sf):
     return registry.select("movie_id") if allowed is None else allowed
 
 
-@query(f"SELECT tmdb_id AS movie_id FROM (SELECT tmdb_id, try_cast(nullif(trim(left(coalesce(release_date, ''), 4)), '') AS INT) AS y FROM {LATEST_METADATA}) WHERE y IS NULL OR y BETWEEN 1990 AND 1999")
+@query(f"SELECT tmdb_id AS movie_id FROM (SELECT tmdb_id, CASE WHEN regexp_full_match(trim(left(coalesce(release_date, ''), 4)), '[0-9]+') THEN left(release_date, 4)::INT END AS y FROM {LATEST_METADATA}) WHERE y IS NULL OR y BETWEEN 1990 AND 1999")
 def year_range_filter(spark, sf):
     return S.year_ids(_registry(spark, sf), 1990, 1999)
 
 
-@query(f"""SELECT tmdb_id AS movie_id FROM (SELECT tmdb_id, genres, try_cast(nullif(trim(left(coalesce(release_date, ''), 4)), '') AS INT) AS y FROM {LATEST_METADATA}) WHERE (y IS NULL OR y >= 1980) AND len(list_filter(genres, lambda g: contains(lower(g), 'drama') OR contains('drama', lower(g)))) > 0""")
+@query(f"""SELECT tmdb_id AS movie_id FROM (SELECT tmdb_id, genres, CASE WHEN regexp_full_match(trim(left(coalesce(release_date, ''), 4)), '[0-9]+') THEN left(release_date, 4)::INT END AS y FROM {LATEST_METADATA}) WHERE (y IS NULL OR y >= 1980) AND len(list_filter(genres, lambda g: contains(lower(g), 'drama') OR contains('drama', lower(g)))) > 0""")
 def genre_and_year_filter(spark, sf):
     return S.allowed_ids(_registry(spark, sf), "drama", 1980, None)
 
@@ -497,7 +497,8 @@ def location_index(spark, sf):
 
 # --- files, titles, links ---------------------------------------------------------------------------------------
 
-_BARE = "trim(regexp_replace(regexp_replace(lower(filename), '\\.[^.]*$', ''), '(^|[^0-9])((?:19|20)[0-9]{2})($|[^0-9])', '\\1\\3'), '-')"
+_YEARLESS = "regexp_replace({0}, '(^|[^0-9])((?:19|20)[0-9]{{2}})($|[^0-9])', '\\1\\3', 'g')"
+_BARE = "trim(" + _YEARLESS.format(_YEARLESS.format("regexp_replace(lower(filename), '\\.[^.]*$', '')")) + ", '-')"
 
 
 @query(f"""WITH f AS (SELECT DISTINCT filename, list_filter(regexp_split_to_array(replace({_BARE}, '-', ' '), '\\s+'), lambda w: w <> '') AS w FROM manifest)
@@ -720,7 +721,7 @@ _PLOT = f"SELECT tmdb_id AS doc_key, trim(coalesce(nullif(wiki_plot, ''), overvi
 
 
 @query(f"""WITH {bm25_sql(_PLOT, "SELECT 0 AS query_id, 'the watchmaker hides a lantern in the harbor' AS query_text")}, ranked AS (SELECT * FROM ({TOP}) WHERE rank <= 80),
-    allowed AS (SELECT tmdb_id AS doc_key FROM (SELECT tmdb_id, genres, try_cast(nullif(trim(left(coalesce(release_date, ''), 4)), '') AS INT) AS y FROM {LATEST_METADATA}) WHERE (y IS NULL OR y >= 1960) AND len(list_filter(genres, lambda g: contains(lower(g), 'drama') OR contains('drama', lower(g)))) > 0),
+    allowed AS (SELECT tmdb_id AS doc_key FROM (SELECT tmdb_id, genres, CASE WHEN regexp_full_match(trim(left(coalesce(release_date, ''), 4)), '[0-9]+') THEN left(release_date, 4)::INT END AS y FROM {LATEST_METADATA}) WHERE (y IS NULL OR y >= 1960) AND len(list_filter(genres, lambda g: contains(lower(g), 'drama') OR contains('drama', lower(g)))) > 0),
     kept AS (SELECT doc_key, row_number() OVER (ORDER BY rank) AS rank FROM ranked WHERE doc_key IN (SELECT doc_key FROM allowed))
     SELECT doc_key AS movie_id, round(1.0 / (60 + rank), 4) AS score, rank FROM kept WHERE rank <= 10""")
 def retrieve_filtered(spark, sf):
