@@ -198,13 +198,9 @@ def repair(text: str) -> tuple[str, str]:
         return text, ""
     fixed, how = text, ""
     for _ in range(4):
-        best = fixed
-        for page in WRONGLY_READ_AS:
-            tried = decode_spans(fixed, page)
-            if tried != fixed:
-                best = tried
-                break
-        if best == fixed:
+        # The code page under which most of the text decodes; between equals the likelier.
+        best = min((decode_spans(fixed, page) for page in WRONGLY_READ_AS), key=len)
+        if best == fixed or len(best) == len(fixed):
             break
         fixed, how = best, "utf-8"
     words = [m[0] for m in _PIECE.finditer(fixed) if not m[0].isascii()]
