@@ -9,7 +9,7 @@ from scenelake.streaming import ingest as G
 
 SAMPLE = "\n".join([
     "FADE IN:", "", "INT. LIGHTHOUSE - NIGHT", "", "The lamp turns. Mara climbs the", "stairs.", "", " " * 25 + "MARA (V.O.)", " " * 10 + "It was never", " " * 10 + "about the light.", "",
-    " " * 25 + "OTTO", " " * 15 + "(quietly)", " " * 10 + "It was.", "", "EXT. CLIFF - DAY", "", "Waves. 12", "Otto waits for Mr. Grey.", "", "INT. KITCHEN", "", "Nobody.", "",
+    " " * 25 + "OTTO", " " * 15 + "(quietly)", " " * 10 + "It was.", "", "EXT. CLIFF - DAY", "", "Waves break on it.", "Otto waits for Mr. Grey.", "", "INT. KITCHEN", "", "Nobody.", "",
 ])
 
 
