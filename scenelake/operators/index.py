@@ -53,6 +53,15 @@ def document_frequencies(docs: DataFrame, key: list[str], group: list[str], text
     return t.select(*group, F.explode(F.array_distinct("tokens")).alias("term")).groupBy(*group, "term").agg(F.count("*").alias("df"))
 
 
+def statistics(tokenised: DataFrame) -> DataFrame:
+    """(term, df, dl): document frequency of each term, and in the row with term '' the number of documents and the sum of their lengths.
+
+    One pass over (doc_key, tokens) gives both, counted within each task before the shuffle.
+    """
+    rows = tokenised.select(F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("tokens"))).alias("term"))
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("dl"))
+
+
 def lengths(docs: DataFrame, key: list[str], group: list[str], text: str = "text", unicode: bool = False) -> DataFrame:
     """(group..., n_docs, avg_dl)."""
     t = tokenised(docs, key, text, unicode).select(*group, F.size("tokens").alias("dl"))

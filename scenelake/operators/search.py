@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from scenelake.functions import text as X
 from scenelake.operators import index as I
+from scenelake.runtime import cut, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -34,18 +35,22 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_key", text:
     epsilon times the mean idf of the vocabulary; a repeated query term counts
     repeatedly. Statistics are over all documents. Null texts are empty documents.
     """
-    corpus = docs.select(F.col(key).alias("doc_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    corpus = spread(docs.select(F.col(key).alias("doc_key"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     tokens = X.tokens_unicode if unicode else X.tokens_ascii
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(query_text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    df = I.document_frequencies(corpus, ["doc_key"], [], "text", unicode)
-    size = I.lengths(corpus, ["doc_key"], [], "text", unicode)
-    raw = df.crossJoin(F.broadcast(size)).withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    # One row: the vocabulary's mean.
-    mean = raw.agg(F.avg("idf").alias("mean_idf"))
-    wanted = small(asked.select("term").distinct())
-    terms = raw.join(wanted, "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"), "avg_dl")
     tokenised = I.tokenised(corpus, ["doc_key"], "text", unicode)
-    found = tokenised.select("doc_key", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+    # The vocabulary is counted once and written; its size and means are three numbers.
+    counts = cut(I.statistics(tokenised))
+    total = counts.where("term = ''").select("df", "dl").first()
+    if total is None:
+        return asked.select("query_id").withColumn(key, F.lit(None).cast(docs.schema[key].dataType)).withColumn("score", F.lit(0.0)).limit(0)
+    n_docs, avg_dl = total["df"], total["dl"] / total["df"]
+    raw = counts.where("term <> ''").select("term", (F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    mean = raw.agg(F.avg("idf")).first()[0]
+    wanted = small(asked.select("term").distinct())
+    terms = raw.join(wanted, "term", "left_semi").select("term", F.when(F.col("idf") < 0, epsilon * F.lit(mean)).otherwise(F.col("idf")).alias("idf"), F.lit(avg_dl).alias("avg_dl"))
+    # explode() would have the words made twice, to filter on their number below the exchange.
+    found = tokenised.select("doc_key", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).join(wanted, "term", "left_semi")
     postings = found.groupBy("doc_key", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
     # The terms of the queries, and the queries, are of the queries' size.
@@ -83,7 +88,7 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, key: str = "doc_key", v
     A stated set of queries against all rows: the queries are sent to all executors, in blocks if they are many.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), I.unit(query_vector).alias("q")).where("q is not null")
-    stored = vectors.select(F.col(key).alias("doc_key"), I.unit(vector).alias("v")).where("v is not null")
+    stored = spread(vectors.select(key, vector)).select(F.col(key).alias("doc_key"), I.unit(vector).alias("v")).where("v is not null")
     return stored.crossJoin(F.broadcast(asked)).select("query_id", F.col("doc_key").alias(key), I.dot(F.col("v"), F.col("q")).alias("score"))
 
 

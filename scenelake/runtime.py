@@ -92,6 +92,13 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a scan has fewer partitions than there are cores; anything larger is left as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if 0 < parts < cores // 2 else df
+
+
 class TooLarge(ValueError):
     """A side that was to be sent to every executor is over its stated bound."""
 
