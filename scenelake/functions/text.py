@@ -137,6 +137,7 @@ SHOT_WORDS = (
     "SHOT ANGLE CUT FADE DISSOLVE INSERT POV P.O.V CLOSE CLOSEUP CLOSE-UP CU ECU WIDE WS EWS ZOOM TILT PAN CRANE TRACKING DOLLY "
     "STEADICAM ESTABLISHING EST AERIAL UNDERWATER HANDHELD MOVING MEDIUM MED MS FULL LONG TWO THREE REVERSE"
 ).split()
+# Fixed: how a scene heading begins.
 HEADING = r"(?i)^\s*(INT\.?(?:/EXT\.?)?|EXT\.?|I/E)\b"
 # Fixed: abbreviations that end no sentence.
 ABBREVIATIONS = "Mr Mrs Ms Dr Jr Sr Lt Sgt Cpl Pvt St Vs No Vol Dept Ext Int".split()

@@ -16,7 +16,7 @@ from scenelake.operators import rerank as K
 from scenelake.operators import search as S
 from scenelake.operators import video as V
 from scenelake.plans import query_plan as P
-from scenelake.runtime import read, shared_dir
+from scenelake.runtime import cut, read, shared_dir
 from scenelake.sources import files as L
 from scenelake.sources import screenplay as Y
 from scenelake.streaming import ingest as G
@@ -714,7 +714,8 @@ def video_query(spark, sf):
 
 def _retriever(spark, sf) -> S.Retriever:
     scenes, metadata = read(spark, sf, "scenes"), read(spark, sf, "metadata")
-    return S.Retriever(I.index_documents(scenes, metadata), _registry(spark, sf), people=N.people(metadata))
+    # As a build stores them: each list would make the documents anew.
+    return S.Retriever(cut(I.index_documents(scenes, metadata)), cut(_registry(spark, sf)), people=cut(N.people(metadata)))
 
 
 _PLOT = f"SELECT tmdb_id AS doc_key, trim(coalesce(nullif(wiki_plot, ''), overview), ' ') AS text FROM {LATEST_METADATA} WHERE trim(coalesce(nullif(wiki_plot, ''), overview), ' ') <> ''"
@@ -733,7 +734,7 @@ def retrieve_filtered(spark, sf):
 @query()
 def retrieve_hybrid(spark, sf):
     retriever = _retriever(spark, sf)
-    retriever.vectors = I.hashed_vectors(retriever.docs, ["index", "doc_key"], width=64)
+    retriever.vectors = cut(I.hashed_vectors(retriever.docs, ["index", "doc_key"], width=64))
     text = "a widow drops the brass compass under the lamp"
 
     def embed(words: str) -> list[float]:
