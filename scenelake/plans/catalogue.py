@@ -673,7 +673,7 @@ def audit_missing_metadata(spark, sf):
 
 def _clips(spark, sf) -> DataFrame:
     """Scenes as clips of their movie: action, dialogue and heading as fields, through JSON."""
-    clip = F.struct(F.array_join(F.slice(X.non_empty("action_lines"), 1, 2), " ").alias("action"), F.col("heading").alias("visual_description"), X.dialogue_text().alias("concatenated_transcript"), F.lit("l").alias("youtube_link"), F.lit("0").alias("timestamp"), F.col("heading").alias("description"))
+    clip = F.struct(F.array_join(X.non_empty("action_lines"), " ").alias("action"), F.col("heading").alias("visual_description"), X.dialogue_text().alias("concatenated_transcript"), F.lit("l").alias("youtube_link"), F.lit("0").alias("timestamp"), F.col("heading").alias("description"))
     rows = _scenes(spark, sf).where("slug is not null").select("slug", "scene_id", clip.alias("c"))
     movies = rows.groupBy("slug").agg(F.struct(F.lit("a story").alias("plot_summary"), F.array(F.lit("x"), F.lit("y")).alias("themes"), F.lit("").alias("tone"), F.map_from_entries(F.collect_list(F.struct("scene_id", "c"))).alias("clips")).alias("m"))
     return V.parse_clips(movies.select(F.to_json(F.create_map("slug", "m")).alias("value")))
@@ -705,7 +705,8 @@ def rrf_video_fields(spark, sf):
 
 @query()
 def video_query(spark, sf):
-    clips = _clips(spark, sf)
+    # Parsed once: each field's list would aggregate and parse the movies anew.
+    clips = cut(_clips(spark, sf))
     return V.query(V.unpivot(clips), V.transcripts(clips), "what does the watchmaker say about the lantern", fields=("dialogue", "action"), top_k=10)
 
 

@@ -40,3 +40,13 @@ def test_query_equals_sql(spark, name):
 
 def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_clips_hold_every_action_line(spark, tmp_path):
+    schema = "scene_id string, slug string, heading string, action_lines array<string>, dialogue array<struct<character:string,line:string>>, ingested_at timestamp"
+    lines = ["One.", "", "Two.", None, "Three.", "The watchmaker lifts the lantern."]
+    spark.createDataFrame([("m_1", "m", "INT. HARBOR - NIGHT", lines, [], None)], schema).write.parquet(f"{tmp_path}/scenes.parquet")
+    rows = entry.queries()["field_unpivot"](spark, str(tmp_path)).where("field_type = 'action'").collect()
+    assert [r.content for r in rows] == ["One. Two. Three. The watchmaker lifts the lantern."]
+    found = entry.queries()["video_query"](spark, str(tmp_path)).collect()
+    assert [r.clip_id for r in found] == ["m_1"]
