@@ -207,7 +207,7 @@ class Vocabulary:
 
 
 def evidence(heading: str | None, lines: list[str | None], slug: str | None, vocabulary: Vocabulary) -> tuple[set[str], list[str]]:
-    """(fields with certain noise, letters of lines that are noise if they repeat)."""
+    """(fields with certain noise, letters of all lines that are noise if they repeat, also beside certain noise)."""
     fields, edges = set(), []
     if heading and heading.strip():
         text = heading.strip()
@@ -215,22 +215,20 @@ def evidence(heading: str | None, lines: list[str | None], slug: str | None, voc
             fields.add("heading")
         elif _digit_word(text) or vocabulary.misread(text):
             fields.add("heading")
+    noisy = False
     for line in lines:
         if not line or not line.strip():
             continue
-        if page_mark(line) or _CUT.search(line) or _CUT_END.search(line) or _STRAY.search(line):
-            fields.add("action_lines")
-            break
+        if page_mark(line):
+            noisy = True
+            continue
         letters = edge_line(line)
         if letters:
-            if like_slug(letters, slug):
-                fields.add("action_lines")
-                break
             edges.append(letters)
-        if _garbled_mark(line) or _digit_word(line) or vocabulary.misread(line):
-            fields.add("action_lines")
-            break
-    return fields, ([] if "action_lines" in fields else edges)
+        noisy = noisy or bool(_CUT.search(line) or _CUT_END.search(line) or _STRAY.search(line) or letters and like_slug(letters, slug) or _garbled_mark(line) or _digit_word(line) or vocabulary.misread(line))
+    if noisy:
+        fields.add("action_lines")
+    return fields, edges
 
 
 def _garbled_mark(line: str) -> bool:

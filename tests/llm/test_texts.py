@@ -93,6 +93,14 @@ def test_noisy_fields_and_repair(spark):
     assert fixed["x3"].heading is None and fixed["x4"].paragraphs == []
 
 
+def test_headers_count_scenes_with_other_noise(spark):
+    rows = [(f"h_{i}", "other_film", "EXT. HARBOR - DAY", [*(["- 7 -"] if i > 1 else []), "QUIET GARDEN OF STONES, THE", "The lantern hangs."]) for i in range(4)]
+    rows += [("h_4", "other_film", "EXT. HARBOR - DAY", ["The lantern hangs."])]
+    df = spark.createDataFrame(rows, "scene_id string, slug string, heading string, action_lines array<string>")
+    assert sorted(tuple(r) for r in scans.noisy_fields(df).collect()) == [(f"h_{i}", "action_lines") for i in range(4)]
+    assert all(r.paragraphs == ["The lantern hangs."] for r in scans.repaired_scenes(df).collect())
+
+
 def test_hyphens_stay_where_the_corpus_has_them():
     words = scans.Vocabulary({"switchboard-room": 50, "lantern": 80})
     assert words.join("the switchboard", "room") == "the switchboard-room" and words.join("the lan", "tern") == "the lantern"
