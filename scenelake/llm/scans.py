@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from scenelake import runtime
 
-MOST_WORDS = 100_000  # words the executors hold, the commonest of the corpus
+MOST_WORDS = 100_000  # words the executors hold, all that count LEAST_COUNT or more; beyond it an error
 LEAST_COUNT = 5
 TIMES_COMMONER = 40
 REPEATS = 3  # scenes of a movie that must hold a line for it to be a running header
@@ -284,11 +284,17 @@ def _prefix(text: str) -> str:
 
 
 def vocabulary(scenes: DataFrame, most: int = MOST_WORDS, least: int = LEAST_COUNT) -> dict[str, int]:
-    """The commonest words of all headings and action lines with their counts; at most `most` reach the driver."""
+    """The words of all headings and action lines that count `least` or more, with their counts; ValueError if they are more than `most`.
+
+    A word left out would count as unseen and pass for a misreading, so none is.
+    """
     texts = F.concat_ws("\n", F.col("heading"), F.concat_ws("\n", "action_lines"))
     words = scenes.select(F.explode(F.regexp_extract_all(F.lower(texts), F.lit(_JAVA_WORD), F.lit(0))).alias("word"))
-    counted = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most)
-    return {r["word"]: r["n"] for r in counted.collect()}
+    counted = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).limit(most + 1)
+    found = {r["word"]: r["n"] for r in counted.collect()}
+    if len(found) > most:
+        raise ValueError(f"more than {most} words count {least} or more; give a higher bound")
+    return found
 
 
 def noisy_fields(scenes: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:

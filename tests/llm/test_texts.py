@@ -101,6 +101,13 @@ def test_headers_count_scenes_with_other_noise(spark):
     assert all(r.paragraphs == ["The lantern hangs."] for r in scans.repaired_scenes(df).collect())
 
 
+def test_a_vocabulary_over_its_bound_is_an_error(spark):
+    df = spark.createDataFrame([(f"v_{i}", "v", "INT. HARBOR", ["lantern opens"]) for i in range(5)], "scene_id string, slug string, heading string, action_lines array<string>")
+    assert scans.vocabulary(df, most=4) == {"int": 5, "harbor": 5, "lantern": 5, "opens": 5}
+    with pytest.raises(ValueError, match="more than 3 words"):
+        scans.vocabulary(df, most=3)
+
+
 def test_hyphens_stay_where_the_corpus_has_them():
     words = scans.Vocabulary({"switchboard-room": 50, "lantern": 80})
     assert words.join("the switchboard", "room") == "the switchboard-room" and words.join("the lan", "tern") == "the lantern"
