@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from scenelake import runtime
 
-MOST_ROUNDS = 12
+MOST_ROUNDS = 12  # beyond it an error
 ESTABLISHED_IN = 3  # movies whose cast must hold a name part for it to be no typing error
 
 # Fixed: common English short forms of given names.
@@ -389,6 +389,9 @@ def resolve(names: DataFrame) -> DataFrame:
             break
         profiles = runtime.cut(profiles.join(moved, "profile", "left").select("id", F.coalesce("target", "profile").alias("profile")))
         matches = runtime.cut(_carried(matches, moved))
+    else:
+        if not _moves(matches).isEmpty():
+            raise RuntimeError(f"profiles still merge after {MOST_ROUNDS} rounds")
     return spelled.select("slug", "name", "id").join(profiles, "id").select("slug", "name", "profile")
 
 

@@ -200,3 +200,11 @@ def test_expectation_maximisation_separates():
     patterns = {(2, 2): 90, (2, 1): 10, (0, 0): 800, (0, 1): 150, (1, 0): 40}
     posterior = linkage.fit(patterns)
     assert posterior[2, 2] > 0.95 and posterior[0, 0] < 0.05 and linkage.fit({}) == {}
+
+
+def test_profiles_that_still_merge_at_the_bound_are_an_error(spark, monkeypatch):
+    rows = spark.createDataFrame([("m", n, True) for n in ("MARGARET HOLLOWAY", "MARGARET HOLOWAY")], "slug string, name string, cast boolean")
+    assert len({r.profile for r in names.resolve(rows).collect()}) == 1
+    monkeypatch.setattr(names, "MOST_ROUNDS", 0)
+    with pytest.raises(RuntimeError, match="still merge"):
+        names.resolve(rows)
