@@ -25,36 +25,8 @@ from scenelake import runtime
 
 MISS = -1
 MOST_REFERENCES = 100_000
+OWN_WORD = 0.1  # of the entry's own count, from which on (and from two on) a typed value is a word of its own and no typing error
 
-# Fixed: other names of the genres, in English, French, German and Spanish.
-GENRE_NAMES = {
-    "Action": "acción, actioner, action packed, aktion",
-    "Adventure": "adventures, abenteuer, aventure, aventura, aventuras, swashbuckler",
-    "Animation": "animated, animación, anim, zeichentrick, dessin animé, cartoon, trickfilm",
-    "Biography": "bio, biopic, biographical, biographie, biografía, biografie, life story",
-    "Comedy": "comedies, comedic, comédie, komödie, comedia, funny, funny comedy",
-    "Crime": "crimen, krimi, crimes, policier, policíaco, gangster",
-    "Documentary": "doc, docu, documental, documentaire, dokumentarfilm, dokumentation, documentaries",
-    "Drama": "dramatic, drame, melodrama",
-    "Family": "familial, families, family friendly, for the whole family, familienfilm, familiar, kids",
-    "Fantasy": "fantasía, high fantasy, fantasies, fantastique",
-    "Film Noir": "noir, noirish, filmnoir",
-    "History": "historic, historical, histoire, historia, period, period history, geschichte, historisch",
-    "Horror": "horreur, terror, scary, scary horror, horrorfilm, grusel",
-    "Martial Arts": "kung fu, karate, martial art, kampfkunst, artes marciales, arts martiaux",
-    "Music": "musique, música, musik",
-    "Musical": "comédie musicale, song and dance, song and dance musical, musicals",
-    "Mystery": "mysteries, mystère, misterio, whodunit, whodunnit",
-    "Romance": "romantic, romances, love story, liebesfilm, romántica, romantique, love",
-    "Science Fiction": "sci fi, scifi, sf, ciencia ficción, sciencefiction",
-    "Sport": "sports, sporting, deporte, deportes",
-    "Thriller": "suspense, suspense thriller, thrilling, psycho thriller",
-    "TV Movie": "telefilm, made for tv, tv film, television movie, tvmovie, fernsehfilm, téléfilm",
-    "War": "guerre, kriegsfilm, wartime, krieg, guerra, belique",
-    "Western": "westerns, cowboy, cowboy western, wild west, spaghetti western",
-}
-# Fixed: words a letter away from a genre that mean something else.
-NOT_GENRES = frozenset("short shorts cult old any".split())
 # Fixed: words around a genre that say nothing about which.
 GENRE_FILLERS = frozenset("film films movie movies story stories tale tales genre flick cinema".split())
 # Fixed: how sequels are counted.
@@ -80,6 +52,12 @@ def distance(a: str, b: str, most: float) -> float:
         return 0.0
     if abs(len(a) - len(b)) > 2 * most + 2:
         return most + 1
+    # Equal ends cost nothing; one letter of them stays, as doubled letters are cheaper.
+    ahead = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    a, b = a[max(0, ahead - 1) :], b[max(0, ahead - 1) :]
+    behind = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
+    if behind > 1:
+        a, b = a[: 1 - behind], b[: 1 - behind]
     before2: list[float] = []
     before = [0.0]
     for c in b:
@@ -97,7 +75,7 @@ def distance(a: str, b: str, most: float) -> float:
             if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
                 best = min(best, before2[j - 2] + 0.7)
             row.append(best)
-        if min(row) > most + 1:
+        if min(row) > most and min(before) > most:
             return most + 1
         before2, before = before, row
     return before[-1]
@@ -122,9 +100,11 @@ class Dictionary:
         self.entries = [(text, ref) for text, ref in dict.fromkeys(entries) if text]
         self.rank = rank
         self.exact = defaultdict(set)
+        self.texts = defaultdict(list)
         holders = defaultdict(set)
         for n, (text, ref) in enumerate(self.entries):
             self.exact[text].add(ref)
+            self.texts[ref].append(text)
             for word in text.split():
                 holders[word].add(n)
         self.holders = {w: sorted(h) for w, h in holders.items()}
@@ -167,36 +147,87 @@ class Dictionary:
 
 
 class Genres:
-    """Typed genres against the reference genres and their other names."""
+    """Typed genres against the reference genres.
+
+    A value means an entry by bounded edit distance, by holding the entry's words
+    or a word that only this entry has, by shortening each of its words, by their
+    initials, or by a common stem. Other words for a genre have nothing of its
+    name and are reported as misses.
+    """
 
     def __init__(self, reference: list[tuple[int, str]], counts: dict[int, int]):
-        entries = []
-        for ref, name in reference:
-            for other in [name, *GENRE_NAMES.get(name, "").split(",")]:
-                entries.append((plain(other), ref))
-                entries.append((plain(other).replace(" ", ""), ref))
+        self.names = [(plain(name).split(), ref) for ref, name in reference if plain(name)]
+        entries = [(text, ref) for words, ref in self.names for text in (" ".join(words), "".join(words))]
         self.book = Dictionary(entries, counts)
+        owners = defaultdict(set)
+        for words, ref in self.names:
+            for w in words:
+                owners[w].add(ref)
+        self.single = {w: min(refs) for w, refs in owners.items() if len(refs) == 1 and w not in GENRE_FILLERS}
 
-    def find(self, value: str) -> int:
+    def find(self, value: str, times: int = 1) -> int:
         words = plain(value).split()
         if len(words) > 1 and words[0] == "genre":
             words = words[1:]
-        forms = [" ".join(words)]
+        forms = [words]
         while len(words) > 1 and words[-1] in GENRE_FILLERS:
             words = words[:-1]
-            forms.append(" ".join(words))
-        for form in forms:
-            if form in NOT_GENRES:
-                return MISS
-            for exact in (form, form[:-1] if form.endswith("s") else "", form.replace(" ", "")):
-                if exact and (refs := self.book.exact.get(exact)):
-                    return min(refs, key=lambda r: (-self.book.rank.get(r, 0), r))
-        found = []
+            forms.append(words)
         for form in forms:
-            size = len(form.replace(" ", ""))
-            most = 0.0 if size <= 2 else 0.8 if size == 3 else 1.0 if size <= 5 else 1.6 if size <= 7 else 2.0
-            found += self.book.ranked(form, most)
-        return min(found)[2] if found else MISS
+            if (ref := self.exact(form)) is not None:
+                return ref
+        if words[-1:] and words[-1].endswith("s"):
+            forms.append(words[:-1] + [words[-1][:-1]])
+        near = [x for form in forms for x in self.near(" ".join(form), times)]
+        if near:
+            return min(near)[2]
+        # The last word that says something decides: "song and dance musical".
+        for form in (words[a:b] for size in range(len(words) - 1, 0, -1) for b in range(len(words), size - 1, -1) for a in [b - size]):
+            if (ref := self.exact(form)) is not None:
+                return ref
+        for word in reversed(words):
+            if word in self.single:
+                return self.single[word]
+        return self.shortened(words) or self.stem(words) or MISS
+
+    def exact(self, words: list[str]) -> int | None:
+        form = " ".join(words)
+        for text in (form, form[:-1] if form.endswith("s") else "", form.replace(" ", "")):
+            if text and (refs := self.book.exact.get(text)):
+                return min(refs, key=lambda r: (-self.book.rank.get(r, 0), r))
+        return None
+
+    def near(self, form: str, times: int) -> list[tuple[float, int, int]]:
+        """Entries within the distance that the length allows; a short word of its own is no misspelling of another."""
+        size = len(form.replace(" ", ""))
+        most = 0.0 if size <= 2 else 0.8 if size == 3 else 1.0 if size <= 5 else 1.6 if size <= 7 else 2.0
+        return [x for x in self.book.ranked(form, most) if size > 5 or x[0] < 1.0 or times < max(2.0, OWN_WORD * -x[1])]
+
+    def shortened(self, words: list[str]) -> int:
+        """The one entry whose words the typed ones begin ("sci fi", "scifi", "docu"), or whose initials they are; else 0."""
+        text = "".join(words)
+        fits = set()
+        for entry, ref in self.names:
+            whole = len(words) == len(entry) and all(len(w) >= min(2, len(e)) and e.startswith(w) for w, e in zip(words, entry))
+            halves = len(words) == 1 and len(entry) == 2 and any(i >= 2 and len(text) - i >= 2 and entry[0].startswith(text[:i]) and entry[1].startswith(text[i:]) for i in range(2, len(text) - 1))
+            if (whole and len(text) > 2) or halves or len(entry) > 1 and text == "".join(e[0] for e in entry):
+                fits.add(ref)
+        return fits.pop() if len(fits) == 1 else 0
+
+    def stem(self, words: list[str]) -> int:
+        """The entry with which a typed word shares its beginning ("historical", "biopic") or that stands at its end or beginning ("melodrama", "horrorfilm"); else 0."""
+        best = []
+        for word in words:
+            for entry, ref in self.names:
+                own = "".join(entry)
+                word = word.removesuffix("s")
+                for part in {own, *(e for e in entry if e in self.single)}:
+                    if len(part) >= 4 and len(word) > len(part) and (word.endswith(part) or word.startswith(part)):
+                        best.append((-1.0, -len(part), ref))
+                    n = next((i for i, (x, y) in enumerate(zip(word, part)) if x != y), min(len(word), len(part)))
+                    if n >= 4 and n >= 0.6 * min(len(word), len(part)) or n == 3 and n >= 0.5 * len(word):
+                        best.append((-n / len(part), -n, ref))
+        return min(best)[2] if best else 0
 
 
 class Title:
@@ -259,7 +290,7 @@ class Titles:
         year = self.year.get(ref)
         return self.sequel[ref] == title.sequel and not (title.year and year and abs(title.year - year) > 1)
 
-    def find(self, value: str) -> int:
+    def find(self, value: str, times: int = 1) -> int:
         title = Title(value)
         if re.fullmatch(r"[A-Za-z]{2,12}[0-9]?", title.raw) and re.search(r"[A-Z].*[A-Z]", title.raw):
             refs = self.short.get(title.raw, set())
@@ -279,9 +310,7 @@ class Titles:
     def alike(self, text: str, ref: int, book: Dictionary) -> bool:
         """No word of the entry may be altogether another one: names that differ make another film."""
         best = False
-        for entry, r in book.entries:
-            if r != ref:
-                continue
+        for entry in book.texts[ref]:
             mine, theirs = text.split(), entry.split()
             if len(mine) != len(theirs):
                 best = best or distance(text.replace(" ", ""), entry.replace(" ", ""), 2.0) <= 2.0
@@ -307,30 +336,22 @@ def canonical_values(plans: DataFrame, genres: DataFrame, titles: DataFrame) ->
         F.coalesce(F.transform("exclude_titles", lambda v, i: F.struct(F.lit("exclude_titles").alias("field_name"), i.alias("pos"), v.alias("value"))), F.array()),
     )
     values = plans.where("plan_id is not null").select("plan_id", F.explode(typed).alias("v")).select("plan_id", "v.*").where(F.col("value").isNotNull() & F.col("value").rlike(r"(?U)\S"))
-    names = {("genre", n): i for i, n in genre_list} | {("exclude_titles", t): i for i, t, _ in title_list}
-    exact = values.where(F.col("value").isin(sorted({n for _, n in names}))) if names else values.limit(0)
-    counts = {(r["field_name"], r["value"]): r["n"] for r in exact.groupBy("field_name", "value").agg(F.count("*").alias("n")).collect()}
+    values = runtime.cut(values.distinct())
+    names = [("genre", n, i) for i, n in genre_list] + [("exclude_titles", t, i) for i, t, _ in title_list]
+    entries = F.broadcast(spark.createDataFrame(names, "field_name string, value string, ref long"))  # under MOST_REFERENCES twice
+    # Every distinct value is looked up once, however many plans hold it.
+    distinct = runtime.cut(values.groupBy("field_name", "value").agg(F.count("*").alias("n")))
+    counts = {(r["field_name"], r["ref"]): r["n"] for r in distinct.join(entries, ["field_name", "value"]).collect()}
     shared = spark.sparkContext.broadcast((
-        Genres(genre_list, {i: counts.get(("genre", n), 0) for i, n in genre_list}),
-        Titles(title_list, {i: counts.get(("exclude_titles", t), 0) for i, t, _ in title_list}),
-        frozenset(names),
+        Genres(genre_list, {i: counts.get(("genre", i), 0) for i, _ in genre_list}),
+        Titles(title_list, {i: counts.get(("exclude_titles", i), 0) for i, _, _ in title_list}),
     ))
 
     def run(batches):
-        known: dict[tuple[str, str], int] = {}
-        genre_book, title_book, entries = shared.value
+        genre_book, title_book = shared.value
         for batch in batches:
-            keys = list(zip(batch["field_name"], batch["value"]))
-            keep = np.array([k not in entries for k in keys], bool)
-            part = batch[keep]
-            ids = []
-            for key in (k for k, x in zip(keys, keep) if x):
-                if key not in known:
-                    if len(known) > 200_000:
-                        known.clear()
-                    known[key] = (genre_book if key[0] == "genre" else title_book).find(key[1])
-                ids.append(known[key])
-            yield part.assign(ref_id=np.array(ids, dtype=np.int64))
-
-    kind = values.schema["plan_id"].dataType.simpleString()
-    return values.mapInPandas(run, f"plan_id {kind}, field_name string, pos int, value string, ref_id long").distinct()
+            ids = [(genre_book if f == "genre" else title_book).find(v, n) for f, v, n in zip(batch["field_name"], batch["value"], batch["n"])]
+            yield batch[["field_name", "value"]].assign(ref_id=np.array(ids, dtype=np.int64))
+
+    meant = distinct.join(entries.select("field_name", "value"), ["field_name", "value"], "left_anti").mapInPandas(run, "field_name string, value string, ref_id long")
+    return values.join(meant, ["field_name", "value"]).select("plan_id", "field_name", "pos", "value", "ref_id")

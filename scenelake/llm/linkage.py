@@ -1,11 +1,13 @@
 """Files matched to records of the same film without a shared key (problem 1).
 
 Probabilistic record linkage. Titles of both sides are taken apart into names,
-words that many titles share, sequel number and year. Several passes of blocking
-on pairs of names bring candidates together; each candidate gets a level of
-agreement for title, year and cast. Expectation-maximisation over the counts of
-level patterns estimates how often matches and non-matches show each level, and
-the posterior probability of a pattern is the confidence of its pairs.
+words that many titles share, sequel number and year. What a word is called in
+another language is learned from the records whose two titles differ. Several
+passes of blocking on pairs of names bring candidates together; each candidate
+gets a level of agreement for title, year and cast. Expectation-maximisation over
+the counts of level patterns, begun from the files that are resolved already,
+estimates how often matches and non-matches show each level. The posterior
+probability, shared among the records that fit one file, is the confidence.
 """
 
 from __future__ import annotations
@@ -23,18 +25,15 @@ from scenelake import runtime
 from scenelake.llm.canonical import ORDINALS, distance
 from scenelake.llm.names import normal
 
-CONFIDENCE = 0.5
+CONFIDENCE = 0.3  # so that of two records that fit equally well, the more popular is given with less than half
 COMMON_SHARE = 0.002  # share of the records' titles from which on a word says nothing about which film
 ROUNDS = 60
+LEAST_LIKELY = 0.01  # under which a record takes no part in sharing a file's probability
+MOST_WORDS = 100_000  # words that the executors hold, beyond it an error
+LEVELS = ["title_level", "year_level", "cast_level"]
+LEAST_TRANSLATED = 3  # records whose titles must pair two words, and
+TRANSLATED_SHARE = 0.5  # the share of a foreign word's records, for one to translate the other
 
-# Fixed: French, German and Spanish for the nouns of titles, by the English noun.
-TRANSLATED = {
-    "bridge": "pont brücke puente", "garden": "jardin garten jardín", "harbor": "port hafen puerto harbour", "house": "maison haus casa", "letter": "lettre brief carta",
-    "letters": "lettres briefe cartas", "river": "rivière fluss río fleuve", "thief": "voleur dieb ladrón", "winter": "hiver winter invierno", "ghost": "fantôme geist fantasma gespenst",
-    "mirror": "miroir spiegel espejo", "clock": "horloge uhr reloj", "daughter": "fille tochter hija", "island": "île insel isla", "lantern": "lanterne laterne linterna", "orchard": "verger obstgarten huerto",
-    "road": "route straße camino strasse carretera", "silence": "silence stille silencio schweigen", "summer": "été sommer verano", "train": "train zug tren", "widow": "veuve witwe viuda",
-    "nights": "nuits nächte noches", "against": "contre gegen contra vs", "and": "et und y",
-}
 # Fixed: little words of titles in the four languages.
 LITTLE = frozenset("the a an of in ln 1n 0f from le la les l un une du de des d dans der die das den dem von im aus ein eine el los las del en s".split())
 # Fixed: what uploaders add to titles.
@@ -60,10 +59,6 @@ def bones(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", re.sub("[aeiou]", "", fold(word)))
 
 
-_ENGLISH = {}
-for _noun, _others in TRANSLATED.items():
-    for _w in [_noun, *_others.split()]:
-        _ENGLISH.setdefault(fold(_w), fold(_noun))
 _LITTLE = frozenset(fold(w) for w in LITTLE)
 
 
@@ -92,12 +87,28 @@ class Parsed:
                     kept.pop()
                 continue
             kept.append(low)
-        self.words = [w for w in (_ENGLISH.get(fold(x), fold(x)) for x in kept if fold(x) not in _LITTLE or len(kept) < 2) if w]
+        self.words = [w for w in (fold(x) for x in kept) if w and (w not in _LITTLE or len(kept) < 2)]
 
 
-@lru_cache(maxsize=100_000)
-def parsed(text: str) -> Parsed:
-    return Parsed(text)
+class Reader:
+    """Titles taken apart, each once, with words that have a translation in its place."""
+
+    def __init__(self, translations: dict[str, str]):
+        self.translations = translations
+        self.known: dict[str, Parsed] = {}
+
+    def __call__(self, text: str | None) -> Parsed:
+        found = self.known.get(text or "")
+        if found is None:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            found = self.known[text or ""] = Parsed(text or "")
+            found.words = [self.translations.get(w, w) for w in found.words]
+        return found
+
+    def of_file(self, name: str, title: str | None) -> list[Parsed]:
+        """What the uploader's title and the file name say."""
+        return [self(title), self(re.sub(r"\.\w{2,5}$", "", name).replace("-", " "))]
 
 
 @lru_cache(maxsize=400_000)
@@ -192,114 +203,189 @@ def release_year(column):
     return F.expr(f"try_cast(regexp_extract({column}, '((?:19|20)[0-9]{{2}})', 1) as int)")
 
 
-def fit(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
+def fit(patterns: dict[tuple[int, ...], int], known: dict[tuple[int, ...], int] | None = None, rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
     """Posterior probability of a match by pattern of levels, by expectation-maximisation from counts of patterns.
 
     Levels are taken as independent within matches and within non-matches; each
-    is smoothed by half a count. The start supposes that higher levels are likelier for matches.
+    is smoothed by half a count. Matches start as the `known` pairs are, which stay
+    matches in every round and weigh together as much as those found; non-matches
+    start as all pairs are.
     """
     if not patterns:
         return {}
     fields = range(len(next(iter(patterns))))
     levels = [sorted({p[f] for p in patterns}) for f in fields]
-    match = [{v: 2.0 ** (4 * i) for i, v in enumerate(levels[f])} for f in fields]
-    other = [{v: 2.0 ** (-i) for i, v in enumerate(levels[f])} for f in fields]
-    share = 0.2
+    total = sum(patterns.values())
 
-    def scaled(table):
-        total = sum(table.values())
-        return {v: x / total for v, x in table.items()}
-
-    match, other = [scaled(t) for t in match], [scaled(t) for t in other]
+    def shares(counts: dict[tuple[int, ...], float]) -> list[dict[int, float]]:
+        found = []
+        for f in fields:
+            table = {v: 0.5 for v in levels[f]}
+            for p, n in counts.items():
+                if p[f] in table:
+                    table[p[f]] += n
+            whole = sum(table.values())
+            found.append({v: x / whole for v, x in table.items()})
+        return found
+
+    known = known or {tuple(max(v) for v in levels): 1}
+    match, other, share = shares(known), shares(patterns), 0.1
     posterior: dict[tuple[int, ...], float] = {}
     for _ in range(rounds):
         for p in patterns:
             a = math.log(share) + sum(math.log(match[f][p[f]]) for f in fields)
             b = math.log1p(-share) + sum(math.log(other[f][p[f]]) for f in fields)
-            posterior[p] = 1 / (1 + math.exp(min(700.0, b - a)))
-        weight = sum(n * posterior[p] for p, n in patterns.items())
-        total = sum(patterns.values())
-        share = min(0.99, max(0.001, weight / total))
-        for f in fields:
-            yes, no = {v: 0.5 for v in levels[f]}, {v: 0.5 for v in levels[f]}
-            for p, n in patterns.items():
-                yes[p[f]] += n * posterior[p]
-                no[p[f]] += n * (1 - posterior[p])
-            match[f], other[f] = scaled(yes), scaled(no)
+            posterior[p] = 1 / (1 + math.exp(max(-700.0, min(700.0, b - a))))
+        share = min(0.99, max(0.001, sum(n * posterior[p] for p, n in patterns.items()) / total))
+        weight = min(1.0, sum(n * posterior[p] for p, n in patterns.items()) / max(1, sum(known.values())))
+        match = shares({p: patterns.get(p, 0) * posterior.get(p, 0.0) + weight * known.get(p, 0) for p in {**patterns, **known}})
+        other = shares({p: n * (1 - posterior[p]) for p, n in patterns.items()})
     return posterior
 
 
+USABLE = "tmdb_id is not null and trim(tmdb_id) not in ('', '0')"
+
+
 def unresolved(manifest: DataFrame) -> DataFrame:
     """(filename, title, slug) of the files whose tmdb_id is null, blank or '0'."""
-    usable = F.trim(F.coalesce("tmdb_id", F.lit("")))
-    return manifest.where(usable.isin("", "0") & F.col("filename").isNotNull()).select("filename", "title", "slug").distinct()
+    return manifest.where(f"not ({USABLE}) and filename is not null").select("filename", "title", "slug").distinct()
 
 
 def records(metadata: DataFrame) -> DataFrame:
-    """One row for each tmdb_id, the latest; cast as upper-case names of five letters and more."""
+    """One row for each tmdb_id, the latest; cast as the names of the roles; popularity 0 where there is none."""
+    if "popularity" not in metadata.columns:
+        metadata = metadata.withColumn("popularity", F.lit(0.0))
     order = F.struct(F.coalesce("fetched_at", F.lit("1970-01-01").cast("timestamp")), F.coalesce("title", F.lit("")))
-    latest = metadata.where("tmdb_id is not null and trim(tmdb_id) not in ('', '0')").groupBy("tmdb_id").agg(
-        F.max_by(F.struct("title", "original_title", "release_date", F.col("cast.character").alias("roles")), order).alias("m")
+    latest = metadata.where(USABLE).groupBy("tmdb_id").agg(
+        F.max_by(F.struct("title", "original_title", "release_date", "popularity", F.col("cast.character").alias("roles")), order).alias("m")
     )
-    return latest.select("tmdb_id", "m.title", "m.original_title", release_year("m.release_date").alias("released"), "m.roles")
+    return latest.select("tmdb_id", "m.title", "m.original_title", release_year("m.release_date").alias("released"), F.coalesce("m.popularity", F.lit(0.0)).alias("popularity"), "m.roles")
 
 
-def link(manifest: DataFrame, metadata: DataFrame, characters: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
-    """(filename, tmdb_id, confidence): the record each unresolved file most probably belongs to.
+def translations(films: DataFrame) -> dict[str, str]:
+    """Words of one of a record's two titles with the word of the other that stands for them, by how many records pair the two.
 
-    Null or blank titles leave the file name to go by; null dates, casts and
-    slugs make their level unknown; repeated rows count once, and of the
-    refreshes of a record the latest counts. Files for which no record reaches
-    `confidence`, or two do equally, give no row. Extra columns are ignored.
+    What both titles hold is left out, and what is left of either is paired. A word
+    of many records can be few only, so the result is bounded: at most one word in
+    LEAST_TRANSLATED records has an entry, and frequent ones are those of titles' nouns.
     """
-    spark = manifest.sparkSession
-    files, films = unresolved(manifest), records(metadata)
+
+    def paired(batches):
+        read = Reader({})
+        for batch in batches:
+            out = []
+            for film, title, original in zip(batch["tmdb_id"], batch["title"], batch["original_title"]):
+                a, b = read(title).words, read(original).words
+                only_a, only_b = set(a) - set(b), set(b) - set(a)
+                out += [(film, y, x) for y in only_b for x in [*only_a, ""]] + [(film, x, y) for x in only_a for y in [*only_b, ""]]
+            yield pd.DataFrame(out, columns=["film", "foreign", "own"])
+
+    apart = films.where("title is not null and original_title is not null and lower(title) <> lower(original_title)")
+    pairs = apart.select("tmdb_id", "title", "original_title").mapInPandas(paired, "film string, foreign string, own string").groupBy("foreign", "own").agg(F.count("*").alias("n"))
+    whole = pairs.where("own = ''").select("foreign", F.col("n").alias("of"))
+    likely = pairs.where(F.col("own") != "").join(whole, "foreign").where((F.col("n") >= LEAST_TRANSLATED) & (F.col("n") >= TRANSLATED_SHARE * F.col("of")))
+    best = likely.groupBy("foreign").agg(F.max_by("own", F.struct("n", "own")).alias("own"))
+    found = {r["foreign"]: r["own"] for r in runtime.bounded_rows(best, MOST_WORDS)}
+    if not found:
+        return {}
+    # Of two words that stand for each other, the one that more titles have is kept.
+    wanted = frozenset(found) | frozenset(found.values())
+
+    def held(batches):
+        read = Reader({})
+        for batch in batches:
+            yield pd.DataFrame({"word": [w for t in batch["title"] for w in set(read(t).words) & wanted]}, dtype=object)
+
+    times = {r["word"]: r["count"] for r in films.select("title").mapInPandas(held, "word string").groupBy("word").count().collect()}
+    return {a: b for a, b in found.items() if times.get(a, 0) < times.get(b, 0)}
+
+
+def frequent_words(films: DataFrame, read: Reader) -> frozenset[str]:
+    """Words in so many records' titles that they don't tell films apart; a title has a few words, so these can be a few thousand at most."""
 
     def title_words(batches):
         for batch in batches:
-            yield pd.DataFrame({"word": [w for t in batch["title"] for w in set(parsed(t or "").words)]})
+            yield pd.DataFrame({"word": [w for t in batch["title"] for w in set(read(t).words)]}, dtype=object)
 
     count = films.count()
-    frequent = films.select("title").mapInPandas(title_words, "word string").groupBy("word").count().where(F.col("count") >= max(4, COMMON_SHARE * count))
-    # A title has a few words, so at most a few thousand can be in so large a share of them.
-    common = frozenset(r["word"] for r in frequent.collect()) | frozenset(_ENGLISH.values())
+    counted = films.select("title").mapInPandas(title_words, "word string").groupBy("word").count().where(F.col("count") >= max(4, COMMON_SHARE * count))
+    return frozenset(r["word"] for r in runtime.bounded_rows(counted, MOST_WORDS))
+
+
+def levels(batch: pd.DataFrame, read: Reader, common: frozenset[str]) -> tuple[list[int], list[int]]:
+    """Levels of title and year of each row's file and record."""
+    titles, years = [], []
+    for name, title, a, b, released in zip(batch["filename"], batch["title"], batch["film_title"], batch["film_original"], batch["released"]):
+        mine = read.of_file(name, title)
+        theirs = {(tuple(y.words), y.sequel): y for x in (a, b) if x for y in [read(x)]}.values()
+        own = {(tuple(x.words), x.sequel, x.cut): x for x in mine if x.words}.values()
+        found = [title_level(x, y, common) for x in own for y in theirs]
+        titles.append(0 if found and min(found) == 0 and any(m.sequel > 1 for m in mine) and max(found) < 3 else max(found, default=1))
+        year = next((m.year for m in reversed(mine) if m.year), None)
+        years.append(year_level(year, None if pd.isna(released) else int(released)))
+    return titles, years
 
-    def file_keys(batches):
+
+def keyed_files(files: DataFrame, read: Reader, common: frozenset[str]) -> DataFrame:
+    """(key, filename, title, slug): the files under all their blocking keys."""
+
+    def keys(batches):
         for batch in batches:
-            out = []
-            for name, title, slug in zip(batch["filename"], batch["title"], batch["slug"]):
-                stem = re.sub(r"\.\w{2,5}$", "", name).replace("-", " ")
-                for key in title_keys(parsed(title or ""), common) | title_keys(parsed(stem), common):
-                    out.append((key, name, title, slug))
+            out = [(key, *row) for row in zip(batch["filename"], batch["title"], batch["slug"]) for key in set().union(*(title_keys(x, common) for x in read.of_file(row[0], row[1])))]
             yield pd.DataFrame(out, columns=["key", "filename", "title", "slug"])
 
-    def film_keys(batches):
+    return files.mapInPandas(keys, "key string, filename string, title string, slug string")
+
+
+def keyed_films(films: DataFrame, read: Reader, common: frozenset[str]) -> DataFrame:
+    """(key, tmdb_id, film_title, film_original, released): the records under the keys of both titles."""
+
+    def keys(batches):
         for batch in batches:
             out = []
             for film, title, original, released in zip(batch["tmdb_id"], batch["title"], batch["original_title"], batch["released"]):
-                for key in title_keys(parsed(title or ""), common) | title_keys(parsed(original or ""), common):
-                    out.append((key, film, title, original, None if pd.isna(released) else int(released)))
+                out += [(key, film, title, original, None if pd.isna(released) else int(released)) for key in title_keys(read(title), common) | title_keys(read(original), common)]
             yield pd.DataFrame(out, columns=["key", "tmdb_id", "film_title", "film_original", "released"]).astype({"released": "Int32"})
 
-    left = files.mapInPandas(file_keys, "key string, filename string, title string, slug string")
-    right = films.select("tmdb_id", "title", "original_title", "released").mapInPandas(film_keys, "key string, tmdb_id string, film_title string, film_original string, released int")
-    met = left.join(right, "key").drop("key").dropDuplicates(["filename", "title", "slug", "tmdb_id"])
+    return films.select("tmdb_id", "title", "original_title", "released").mapInPandas(keys, "key string, tmdb_id string, film_title string, film_original string, released int")
+
+
+def blocking_recall(manifest: DataFrame, metadata: DataFrame) -> DataFrame:
+    """(files, met): how many resolved files have a record, and how many of them share a blocking key with it."""
+    films = records(metadata)
+    read = Reader(translations(films))
+    common = frequent_words(films, read)
+    own = manifest.where(f"{USABLE} and filename is not null").select("filename", "title", F.col("tmdb_id").alias("own")).distinct().join(films.select(F.col("tmdb_id").alias("own")), "own")
+    left = keyed_files(own.select("filename", "title", F.col("own").alias("slug")), read, common).withColumnRenamed("slug", "tmdb_id")
+    met = left.join(keyed_films(films, read, common), ["key", "tmdb_id"]).select("filename", "tmdb_id").distinct()
+    return own.agg(F.count("*").alias("files")).crossJoin(met.agg(F.count("*").alias("met")))  # a row each
+
+
+def link(manifest: DataFrame, metadata: DataFrame, characters: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
+    """(filename, tmdb_id, confidence): the record each unresolved file most probably belongs to.
+
+    Null or blank titles leave the file name to go by; null dates, casts and
+    slugs make their level unknown; repeated rows count once, and of the
+    refreshes of a record the latest counts. The probabilities of a file's records
+    add up to 1 at most, so records that fit equally share it; between them the
+    more popular is given, then the smaller id. Files for which no record reaches
+    `confidence` give no row. Extra columns are ignored.
+    """
+    spark = manifest.sparkSession
+    files, films = unresolved(manifest), runtime.cut(records(metadata))
+    read = Reader(translations(films))
+    common = frequent_words(films, read) | frozenset(read.translations.values())
+    met = keyed_files(files, read, common).join(keyed_films(films, read, common), "key").drop("key").dropDuplicates(["filename", "title", "slug", "tmdb_id"])
+    # What matches look like is first taken from the files whose record is known.
+    known = manifest.where(f"{USABLE} and filename is not null").select("filename", "title", "slug", "tmdb_id").distinct().join(films.select("tmdb_id", F.col("title").alias("film_title"), F.col("original_title").alias("film_original"), "released"), "tmdb_id")
+    pairs = met.withColumn("known", F.lit(False)).unionByName(known.withColumn("known", F.lit(True)))
 
     def judge(batches):
         for batch in batches:
-            levels, years = [], []
-            for name, title, a, b, released in zip(batch["filename"], batch["title"], batch["film_title"], batch["film_original"], batch["released"]):
-                stem = re.sub(r"\.\w{2,5}$", "", name).replace("-", " ")
-                mine = [parsed(title or ""), parsed(stem)]
-                theirs = {(tuple(y.words), y.sequel): y for x in (a, b) if x for y in [parsed(x)]}.values()
-                own = {(tuple(x.words), x.sequel, x.cut): x for x in mine if x.words}.values()
-                pairs = [title_level(x, y, common) for x in own for y in theirs]
-                levels.append(0 if pairs and min(pairs) == 0 and any(m.sequel > 1 for m in mine) and max(pairs) < 3 else max(pairs, default=1))
-                year = next((m.year for m in reversed(mine) if m.year), None)
-                years.append(year_level(year, None if pd.isna(released) else int(released)))
-            yield batch[["filename", "slug", "tmdb_id"]].assign(title_level=levels, year_level=years)
-
-    candidates = met.mapInPandas(judge, "filename string, slug string, tmdb_id string, title_level int, year_level int").where("title_level > 0")
+            titles, years = levels(batch, read, common)
+            yield batch[["filename", "slug", "tmdb_id", "known"]].assign(title_level=titles, year_level=years)
+
+    candidates = pairs.mapInPandas(judge, "filename string, slug string, tmdb_id string, known boolean, title_level int, year_level int").where("title_level > 0 or known")
 
     def parts(batches):
         for batch in batches:
@@ -310,13 +396,13 @@ def link(manifest: DataFrame, metadata: DataFrame, characters: DataFrame, confid
     cast = candidates.join(spoken.select(F.col("id").alias("slug"), F.col("parts").alias("said")), "slug", "left").join(played.select(F.col("id").alias("tmdb_id"), F.col("parts").alias("played")), "tmdb_id", "left")
     shared = F.size(F.array_intersect("said", "played"))
     level = F.when(F.col("said").isNull() | F.col("played").isNull() | (F.size("said") < 3) | (F.size("played") < 3), 1).when(shared >= F.greatest(F.lit(3), F.size("played") * 0.34), 3).when(shared >= 2, 2).otherwise(0)
-    judged = runtime.cut(cast.select("filename", "slug", "tmdb_id", "title_level", "year_level", level.alias("cast_level")))
-    counts = judged.groupBy("title_level", "year_level", "cast_level").count().collect()
-    posterior = fit({(r[0], r[1], r[2]): r[3] for r in counts})
-    table = spark.createDataFrame([(*p, float(x)) for p, x in posterior.items()] or [(-1, -1, -1, 0.0)], "title_level int, year_level int, cast_level int, confidence double")
-    # A known word that only one title has makes another film (level 2), however probable the rest.
-    scored = judged.join(F.broadcast(table), ["title_level", "year_level", "cast_level"]).where((F.col("confidence") >= confidence) & (F.col("title_level") > 2))
-    strength = F.struct("confidence", "title_level", "year_level", "cast_level")
-    best = scored.withColumn("strength", strength).groupBy("filename").agg(F.max("strength").alias("strength"))
-    chosen = scored.withColumn("strength", strength).join(best, ["filename", "strength"]).groupBy("filename").agg(F.min("tmdb_id").alias("tmdb_id"), F.max("tmdb_id").alias("last"), F.max("confidence").alias("confidence"))
-    return chosen.where("tmdb_id = last").select("filename", "tmdb_id", "confidence")
+    judged = runtime.cut(cast.select("filename", "slug", "tmdb_id", "known", "title_level", "year_level", level.alias("cast_level")))
+    counts = judged.groupBy("known", *LEVELS).count().collect()  # at most 192 patterns
+    posterior = fit({tuple(r[c] for c in LEVELS): r["count"] for r in counts if not r["known"]}, {tuple(r[c] for c in LEVELS): r["count"] for r in counts if r["known"]})
+    table = spark.createDataFrame([(*p, float(x)) for p, x in posterior.items()] or [(-1, -1, -1, 0.0)], "title_level int, year_level int, cast_level int, probability double")
+    likely = judged.where("not known").join(F.broadcast(table), LEVELS).where(F.col("probability") >= LEAST_LIKELY)
+    odds = F.col("probability") / F.greatest(F.lit(1e-12), 1 - F.col("probability"))
+    # A file has a few records left here, so they are added up and compared before they meet.
+    scored = likely.groupBy("filename", "tmdb_id").agg(F.max(odds).alias("odds"), F.max("probability").alias("probability")).join(films.select("tmdb_id", "popularity"), "tmdb_id")
+    chosen = scored.groupBy("filename").agg(F.sum("odds").alias("all"), F.max_by(F.struct("tmdb_id", "odds"), F.struct("odds", "popularity", "tmdb_id")).alias("best"))
+    return chosen.select("filename", "best.tmdb_id", (F.col("best.odds") / (1 + F.col("all"))).alias("confidence")).where(F.col("confidence") >= confidence)

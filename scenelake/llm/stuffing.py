@@ -1,11 +1,15 @@
 """Keyword-stuffed pages, link lists and tag lists (problem 9).
 
-A text is cut at line ends into blocks. Each block's compression ratio is
-divided by what blocks of its language and length have in the whole corpus (the
-median, from one aggregation over all blocks), so that 1 is ordinary. Blocks of
-extreme redundancy, and blocks that are links, tags or wares, are confirmed by
-a low density of sentence ends. A text is spam if more than half of its
-characters lie in such blocks.
+A text is cut at line ends into blocks. Each block is compressed twice: as it
+stands, which shows repeated words, and as its skeleton, in which words,
+addresses and numbers are one mark each and only short words and punctuation
+stay, which shows repeated links, tags and wares whose words differ. Either
+ratio is divided by what blocks of the same language and length have in the
+whole corpus (the median, from one aggregation over all blocks), so that 1 is
+ordinary. Blocks of extreme redundancy are flagged, and confirmed by a low
+density of sentence ends; lists whose lines are entries (numbered, dated, scene
+headings, questions, roles) are no spam and aren't confirmed. A text is spam if
+more than half of its characters lie in confirmed blocks.
 """
 
 from __future__ import annotations
@@ -20,28 +24,20 @@ from pyspark.sql import functions as F
 from scenelake import runtime
 
 BLOCK_CHARS = 600
-REDUNDANT = 1.45  # times the ordinary ratio, without sentence ends
-EXTREME = 1.7  # times the ordinary ratio, whatever the sentence ends
-SENTENCE_ENDS = 0.02  # a word, under which a block has no sentences
-FUNCTION_WORDS = 0.12  # share of words, under which a block has no grammar
-LINKS = 0.4  # share of characters
-SOME_LINKS = 0.05  # share of characters, in a block without sentences
-REPEATING = 1.25  # times the ordinary ratio, in a block without sentences
+REDUNDANT = 1.45  # times the ordinary ratio of the text
+REGULAR = 1.3  # times the ordinary ratio of the skeleton
+SENTENCE_ENDS = 0.03  # a word, under which a block has no sentences
+EXTREME = 1.7  # times the ordinary ratio of the text: stuffed sentences
+SENTENCES = 0.12  # ends a word, from which on a block is sentences however redundant
+LISTED = 0.5  # share of lines that are entries, from which on a block is a list
 SPAM_SHARE = 0.5
 
-# Fixed: the commonest grammatical words of the four languages.
-GRAMMAR = {
-    "en": "the a an and of to in is it was for on with that this at by from as his her he she but not who no are or be then when if you i my we they yet".split(),
-    "fr": "le la les un une de des du et en est que qui dans pour sur pas au aux il elle ne se ce sans devant puis".split(),
-    "de": "der die das und ein eine einen den dem des ist im in zu mit auf von nicht er sie es als am wer dass bevor während".split(),
-    "es": "el la los las un una de del y en que se no por con su para al como lo cuando pero mientras sin".split(),
-}
-_GRAMMAR = frozenset(w for words in GRAMMAR.values() for w in words)
-_WORD = re.compile(r"[^\W\d_]+")
 _END = re.compile(r"[.!?…][\"”»’')]*(?=\s|$)")
 _CLOSED = re.compile(r"[.!?…][\"”»’')]*\s*$")
-_LINK = re.compile(r"<a\s[^>]*>|</a>|(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S*", re.I)
-_LISTED = re.compile(r"(?m)^\s*(?:\d{1,4}\s*[-.:)–]|(?:INT|EXT|I/E)\b|[QA]:|.*\s\.{2,}\s|.*\bas\b\s)")
+_ADDRESS = re.compile(r"(?:https?://|www\.)[^\s\"'<>)\]]+|\b[\w-]+(?:\.[\w-]+)+/[^\s\"'<>)\]]*", re.I)
+_LONG_WORD = re.compile(r"[^\W\d_]{4,}|[A-Z]+[^\W\d_]*")
+_NUMBER = re.compile(r"[-+]?\w*\d[\w.,%]*")
+_ENTRY = re.compile(r"(?m)^\s*(?:\d{1,4}\s*[-.:)–]|(?:INT|EXT|I/E)\b|[QA]:|.*\s\.{2,}\s|.*\bas\b\s)")
 _LEVEL = re.compile(r"^(en|fr|de|es)\b", re.I)
 
 
@@ -76,25 +72,25 @@ def blocks(text: str, size: int = BLOCK_CHARS) -> list[str]:
     return found
 
 
-def traits(block: str) -> tuple[int, float, float, float, float, float]:
-    """Characters, compression ratio, sentence ends a word, share of grammar, of links and of listed lines."""
+def skeleton(block: str) -> str:
+    """The block with addresses, words of four letters and more or in capitals, and numbers as one mark each."""
+    return _NUMBER.sub("0", _LONG_WORD.sub("w", _ADDRESS.sub("_", block)))
+
+
+def traits(block: str) -> tuple[int, float, float, float, float]:
+    """Characters, compression ratio of the text and of its skeleton (against the text's size), sentence ends a word, share of lines that are entries."""
     raw = block.encode("utf-8", "replace")
-    words = _WORD.findall(block.lower())
-    tokens = max(1, len(block.split()))
     lines = [x for x in block.split("\n") if x.strip()]
-    links = sum(len(m) for m in _LINK.findall(block)) / max(1, len(block))
     return (
-        len(block), len(raw) / len(zlib.compress(raw, 6)), len(_END.findall(block)) / tokens,
-        sum(w in _GRAMMAR for w in words) / max(1, len(words)), links,
-        sum(bool(_LISTED.match(x)) for x in lines) / max(1, len(lines)),
+        len(block), len(raw) / len(zlib.compress(raw, 6)), len(raw) / len(zlib.compress(skeleton(block).encode("utf-8", "replace"), 6)),
+        len(_END.findall(block)) / max(1, len(block.split())), sum(bool(_ENTRY.match(x)) for x in lines) / max(1, len(lines)),
     )
 
 
-def is_stuffed(ratio: Column, ends: Column, grammar: Column, links: Column, listed: Column) -> Column:
-    """Whether a block is repeated keywords, links or wares; ratio is relative to the ordinary one."""
-    extreme = (ratio >= EXTREME) & ((ends < 0.12) | (ratio >= 2 * EXTREME)) & ((grammar < 0.3) | (ends < 0.08))
-    listless = (ends < SENTENCE_ENDS) & (listed < 0.5) & ((grammar < FUNCTION_WORDS) | (links >= SOME_LINKS) | (ratio >= REPEATING))
-    return (links >= LINKS) | extreme | ((ends < 2 * SENTENCE_ENDS) & (ratio >= REDUNDANT)) | listless
+def is_stuffed(text: Column, shape: Column, ends: Column, listed: Column) -> Column:
+    """Whether a block is repeated keywords, links or wares; text and shape are ratios relative to the ordinary ones."""
+    flagged = (text >= REDUNDANT) | (shape >= REGULAR)
+    return flagged & (ends < SENTENCE_ENDS) & (listed < LISTED) | (text >= EXTREME) & (ends < SENTENCES)
 
 
 def spam_share(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -113,13 +109,14 @@ def spam_share(documents: DataFrame, key: str = "doc_id", text: str = "text", la
             for k, t, l in zip(batch["key"], batch["text"], batch["lang"]):
                 known = language(l)
                 out.extend((k, known, min(x[0] // 100, 9), *x) for x in map(traits, blocks(t)))
-            yield pd.DataFrame(out, columns=["key", "lang", "size", "chars", "ratio", "ends", "grammar", "links", "listed"])
+            yield pd.DataFrame(out, columns=["key", "lang", "size", "chars", "ratio", "shape", "ends", "listed"])
 
-    measured = runtime.cut(rows.mapInPandas(measure, f"key {kind}, lang string, size int, chars int, ratio double, ends double, grammar double, links double, listed double"))
-    ordinary = measured.groupBy("lang", "size").agg(F.percentile_approx("ratio", 0.5, 1000).alias("usual"))
+    measured = runtime.cut(rows.mapInPandas(measure, f"key {kind}, lang string, size int, chars int, ratio double, shape double, ends double, listed double"))
+    usual = lambda c: F.percentile_approx(c, 0.5, 1000).alias(f"usual_{c}")
+    ordinary = measured.groupBy("lang", "size").agg(usual("ratio"), usual("shape"))
     # At most five languages times ten sizes.
     judged = measured.join(F.broadcast(ordinary), ["lang", "size"])
-    stuffed = is_stuffed(F.col("ratio") / F.col("usual"), F.col("ends"), F.col("grammar"), F.col("links"), F.col("listed"))
+    stuffed = is_stuffed(F.col("ratio") / F.col("usual_ratio"), F.col("shape") / F.col("usual_shape"), F.col("ends"), F.col("listed"))
     # A repeated row repeats all its blocks, which leaves the share as it is.
     return judged.groupBy("key").agg((F.sum(F.when(stuffed, F.col("chars")).otherwise(0)) / F.sum("chars")).alias("share")).withColumnRenamed("key", key)
 

@@ -91,9 +91,18 @@ def test_titles(typed, meant):
     assert canonical.Titles(TITLES, {}).find(typed) == meant
 
 
-@pytest.mark.parametrize("typed, meant", [("sci fi", 3), ("#Scifi", 3), ("Liebesfilm", 2), ("romanec movies", 2), ("genre: war", 1), ("draam", 4), ("short", -1), ("cooking", -1), ("act1on", 5), ("90s", -1), ("-", -1)])
+@pytest.mark.parametrize("typed, meant", [
+    ("sci fi", 3), ("#Scifi", 3), ("SF", 3), ("romanec movies", 2), ("romantic", 2), ("genre: war", 1), ("draam", 4), ("melodrama", 4), ("dramatic", 4), ("cooking", -1), ("act1on", 5), ("action packed", 5), ("90s", -1), ("-", -1),
+    ("song and dance musical", 8), ("musicals", 8), ("musica", 7), ("biopics", 9), ("docu", 10), ("whodunit", -1), ("kung fu", -1), ("any", -1), ("old", -1),
+])
 def test_genres(typed, meant):
-    assert canonical.Genres([(1, "War"), (2, "Romance"), (3, "Science Fiction"), (4, "Drama"), (5, "Action"), (6, "Sport")], {}).find(typed) == meant
+    names = ["War", "Romance", "Science Fiction", "Drama", "Action", "Sport", "Music", "Musical", "Biography", "Documentary"]
+    assert canonical.Genres(list(enumerate(names, 1)), {}).find(typed) == meant
+
+
+def test_a_word_typed_often_is_no_misspelling():
+    book = canonical.Genres([(1, "Sport"), (2, "Drama")], {1: 100, 2: 80})
+    assert book.find("sprot", 1) == 1 and book.find("short", 1) == 1 and book.find("short", 30) == -1 and book.find("sporrt", 30) == 1
 
 
 def plain_distance(a, b):
@@ -196,6 +205,21 @@ def test_linkage(spark):
     assert linkage.link(manifest, metadata.limit(0), characters.limit(0)).count() == 0
 
 
+def test_translations_are_learned_and_the_posterior_is_shared(spark):
+    places = [f"{a}{b} {c}{d}" for a in ("Sto", "Gri", "Vle") for b in ("ban", "kol") for c in ("Tra", "Mel", "Dru") for d in ("fik", "pos")]
+    films = [(str(i), f"The Mirror of {p}", f"Le miroir de {p}" if i % 3 else f"The Mirror of {p}", "1970-01-01", 1.0) for i, p in enumerate(places, 1)]
+    twins = [("901", "Kerel Zvoban", "Kerel Zvoban", None, 3.0), ("902", "Kerel Zvoban", "Kerel Zvoban", None, 9.0)]
+    schema = "tmdb_id string, title string, original_title string, release_date string, popularity double"
+    metadata = spark.createDataFrame(films + twins, schema).selectExpr("*", "cast(null as array<struct<name:string,character:string>>) as cast", "cast(null as timestamp) as fetched_at")
+    assert linkage.translations(linkage.records(metadata)) == {"miroir": "miror"}
+    resolved = [(f"{i}.pdf", k, t, None) for i, (k, t, *_) in enumerate(films)]
+    manifest = spark.createDataFrame(resolved + [("le-miroir-de-x.pdf", "0", f"Le Miroir de {places[2]}", None), ("kerel-zvoban.pdf", None, "Kerel Zvoban", None)], "filename string, tmdb_id string, title string, slug string")
+    got = {r.filename: (r.tmdb_id, r.confidence) for r in linkage.link(manifest, metadata, spark.createDataFrame([], "slug string, screenplay_name string")).collect()}
+    assert got["le-miroir-de-x.pdf"][0] == "3" and got["kerel-zvoban.pdf"][0] == "902" and got["kerel-zvoban.pdf"][1] < 0.5
+    seen = linkage.blocking_recall(manifest, metadata).first()
+    assert seen.files == seen.met == len(films)
+
+
 def test_expectation_maximisation_separates():
     patterns = {(2, 2): 90, (2, 1): 10, (0, 0): 800, (0, 1): 150, (1, 0): 40}
     posterior = linkage.fit(patterns)
