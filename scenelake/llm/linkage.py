@@ -207,9 +207,9 @@ def fit(patterns: dict[tuple[int, ...], int], known: dict[tuple[int, ...], int]
     """Posterior probability of a match by pattern of levels, by expectation-maximisation from counts of patterns.
 
     Levels are taken as independent within matches and within non-matches; each
-    is smoothed by half a count. Matches start as the `known` pairs are, which stay
-    matches in every round and weigh together as much as those found; non-matches
-    start as all pairs are.
+    is smoothed by half a count. The start is the share of pairs that agree no better
+    in each field. The `known` pairs are matches in every round and weigh together
+    as much as those found.
     """
     if not patterns:
         return {}
@@ -228,18 +228,19 @@ def fit(patterns: dict[tuple[int, ...], int], known: dict[tuple[int, ...], int]
             found.append({v: x / whole for v, x in table.items()})
         return found
 
-    known = known or {tuple(max(v) for v in levels): 1}
-    match, other, share = shares(known), shares(patterns), 0.1
-    posterior: dict[tuple[int, ...], float] = {}
+    known = known or {}
+    below = [{v: sum(n for p, n in patterns.items() if p[f] <= v) / total for v in levels[f]} for f in fields]
+    posterior = {p: math.prod(below[f][p[f]] for f in fields) ** 2 for p in patterns}
     for _ in range(rounds):
+        found = sum(n * posterior[p] for p, n in patterns.items())
+        weight = min(1.0, found / max(1, sum(known.values())))
+        share = min(0.99, max(0.001, found / total))
+        match = shares({p: patterns.get(p, 0) * posterior.get(p, 0.0) + weight * known.get(p, 0) for p in {**patterns, **known}})
+        other = shares({p: n * (1 - posterior[p]) for p, n in patterns.items()})
         for p in patterns:
             a = math.log(share) + sum(math.log(match[f][p[f]]) for f in fields)
             b = math.log1p(-share) + sum(math.log(other[f][p[f]]) for f in fields)
             posterior[p] = 1 / (1 + math.exp(max(-700.0, min(700.0, b - a))))
-        share = min(0.99, max(0.001, sum(n * posterior[p] for p, n in patterns.items()) / total))
-        weight = min(1.0, sum(n * posterior[p] for p, n in patterns.items()) / max(1, sum(known.values())))
-        match = shares({p: patterns.get(p, 0) * posterior.get(p, 0.0) + weight * known.get(p, 0) for p in {**patterns, **known}})
-        other = shares({p: n * (1 - posterior[p]) for p, n in patterns.items()})
     return posterior
 
 

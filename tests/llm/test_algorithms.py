@@ -199,7 +199,7 @@ def test_linkage(spark):
     manifest = spark.createDataFrame(files, "filename string, tmdb_id string, title string, slug string")
     characters = spark.createDataFrame([("r", n) for n in ("KAREL", "TAMM, BORIS", "CLARA WENDEL")], "slug string, screenplay_name string")
     got = {r.filename: r.tmdb_id for r in linkage.link(manifest, metadata, characters).collect()}
-    assert all(truth.get(f) == k for f, k in got.items())
+    assert {f: k for f, k in got.items() if truth.get(f) != k} == {}
     assert len(got) >= 0.95 * len(truth) and got["remake-2010.pdf"] == "9001" and got["sequel.pdf"] == "9002"
     assert linkage.link(manifest.limit(0), metadata, characters).count() == 0
     assert linkage.link(manifest, metadata.limit(0), characters.limit(0)).count() == 0
