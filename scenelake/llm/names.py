@@ -4,8 +4,15 @@ Every distinct spelling starts as a profile of its own. Profiles of a movie that
 share a blocking key (a name part, what it becomes without one letter, the long
 form of a nickname, an acronym) are compared. Certain pairs are merged; a
 shorter spelling is merged into a richer profile only if that one fits better
-than any other. A merged profile unions the spellings, initials and nicknames,
-enters blocking again, and so on until nothing merges any more.
+than any other. A merged profile unions the spellings and initials of its
+members: where these together tell more than any of them ("ANNA Q." and
+"DR. QUILLBERG" make ANNA QUILLBERG), the fuller name enters blocking and is
+compared as a spelling of that profile. Profiles are matched again with what
+they then hold, until neither a merge nor a fuller name is left.
+
+Nothing about the names is listed. Which nicknames stand for which given names,
+which words name organisations or figures ("MINING", "COAT") and which parts are
+established names is counted over the cast lists of all movies.
 """
 
 from __future__ import annotations
@@ -21,33 +28,17 @@ from pyspark.sql import functions as F
 
 from scenelake import runtime
 
-MOST_ROUNDS = 12  # beyond it an error
+MOST_ROUNDS = 40  # beyond it an error
 ESTABLISHED_IN = 3  # movies whose cast must hold a name part for it to be no typing error
+NICKNAMED_IN = 3  # movies in which two given names must go with one family name for one to stand for the other, and
+NICKNAMED_SHARE = 0.2  # the share of the movies that have the rarer one with a family name; brothers and sisters share a name by chance only
 
-# Fixed: common English short forms of given names.
-NICKNAMES = {
-    "ABIGAIL": "ABBY GAIL", "ALEXANDER": "ALEX SANDY XANDER AL", "ANTHONY": "TONY ANT", "BEATRICE": "BEA TRIX TRIXIE", "BENJAMIN": "BEN BENNY BENJI",
-    "CHARLOTTE": "LOTTIE CHARLIE LOTTE", "CHRISTOPHER": "CHRIS KIT TOPHER", "CORDELIA": "DELIA CORDY", "DOMINIC": "DOM NICK", "DOROTHY": "DOT DOLLY DOTTIE DORA",
-    "EDWARD": "ED NED TED EDDIE TEDDY", "ELEANOR": "NELL ELLIE NORA NELLIE", "ELIZABETH": "LIZ BETH LIZZIE BETTY ELIZA BESS", "FRANCIS": "FRANK FRANKIE FRAN", "FREDERICK": "FRED FREDDIE FREDDY RICK",
-    "GABRIEL": "GABE", "GWENDOLYN": "GWEN WENDY", "ISABELLA": "IZZY BELLA ISA", "JACQUELINE": "JACKIE", "JOSEPHINE": "JO JOSIE", "JOSHUA": "JOSH",
-    "KATHERINE": "KATE KIT KATIE KATHY KITTY KAY", "LAWRENCE": "LARRY LAURIE", "LEONARD": "LEN LENNY LEO", "MARGARET": "MAGGIE PEGGY MEG MARGE DAISY", "MATILDA": "TILLY MATTIE TILDA",
-    "MAXIMILIAN": "MAX", "MICHAEL": "MIKE MICKEY MICK", "NATHANIEL": "NATE NAT NATHAN", "PATRICK": "PADDY PAT RICK", "PENELOPE": "PENNY NELL", "PHILIPPA": "PIP PIPPA",
-    "RAYMOND": "RAY", "RICHARD": "DICK RICK RICH RICHIE", "ROBERT": "BOB ROB BOBBY ROBBIE BERT", "ROSALIND": "ROZ ROSE ROSIE LINDY", "SAMUEL": "SAM SAMMY",
-    "SUSANNAH": "SUE SUSIE SUSAN", "THEODORE": "TED TEDDY THEO", "THOMAS": "TOM TOMMY", "VICTORIA": "VICKY TORI VIC", "WILLIAM": "BILL WILL BILLY WILLIE LIAM", "WINIFRED": "WINNIE FREDDIE WIN",
-}
-_LONG: dict[str, frozenset[str]] = {}
-for _name, _short in NICKNAMES.items():
-    for _s in _short.split():
-        _LONG[_s] = _LONG.get(_s, frozenset()) | {_name}
 # Fixed: ranks and styles before a name, by their long form.
 TITLES = {s: long for long, short in {
     "DOCTOR": "DR DOC", "LIEUTENANT": "LT LIEUT", "CAPTAIN": "CAPT CPT", "PROFESSOR": "PROF", "DETECTIVE": "DET", "SERGEANT": "SGT", "MISTER": "MR", "MISSUS": "MRS MISSIS", "MISS": "MS",
     "COLONEL": "COL", "GENERAL": "GEN", "OFFICER": "OFC", "AGENT": "", "SHERIFF": "", "INSPECTOR": "INSP", "JUDGE": "", "FATHER": "FR", "SISTER": "SR", "MAJOR": "MAJ", "CORPORAL": "CPL", "PRIVATE": "PVT",
 }.items() for s in [long, *short.split()]}
 NUMBERS = {w: n for n, words in enumerate("ONE 1ST FIRST,TWO 2ND SECOND,THREE 3RD THIRD,FOUR 4TH FOURTH,FIVE 5TH FIFTH,SIX 6TH SIXTH,SEVEN 7TH SEVENTH,EIGHT 8TH EIGHTH,NINE 9TH NINTH".split(","), 1) for w in words.split()}
-_SAME_WORD = {"GREY": "GRAY", "COLOURED": "COLORED", "COLOUR": "COLOR"}
-# Fixed: words that make a name one of an organisation or its staff.
-_BODIES = frozenset("MINING RADIO HOSPITAL FREIGHT SWITCHBOARD DISPATCH OPERATOR CONTROL COMPANY AIRLINES BANK HOTEL POLICE STATION RAILWAY SHIPPING TELEPHONE TOWER".split())
 _LITTLE = frozenset("IN THE A AN WITH W/ OF ON AND AT".split())
 _SUFFIX = re.compile(r"\s*\(?\b(?:CONT(?:INUING|INUED|['’]?D)?|V\.?\s?O\.?|O\.?\s?S\.?|O\.?\s?C\.?|VOICE|PRE-?LAP|ARCHIVE|FILTERED|ON PHONE|OFF)\)\s*")
 
@@ -66,11 +57,12 @@ def normal(name: str) -> str:
 class Name:
     """The parts of one spelling."""
 
-    __slots__ = ("kind", "given", "family", "first", "last", "word", "nick", "title", "role", "number", "words", "rank")
+    __slots__ = ("kind", "given", "family", "first", "last", "word", "nick", "title", "role", "number", "words", "rank", "staff")
 
-    def __init__(self, form: str):
+    def __init__(self, form: str, marks: frozenset[str] = frozenset()):
+        """marks: those of the form's words that name organisations ("o:MINING") or figures ("f:COAT") in the cast lists."""
         self.kind, self.given, self.family, self.first, self.last, self.word = "none", "", "", "", "", ""
-        self.nick, self.title, self.role, self.number, self.words, self.rank = "", "", "", 0, (), 0
+        self.nick, self.title, self.role, self.number, self.words, self.rank, self.staff = "", "", "", 0, (), 0, False
         nick = re.search(r"\|([^|]+)\|", form)
         if nick:
             self.nick = nick[1].strip()
@@ -89,15 +81,16 @@ class Name:
             return
         while len(words) > 1 and words[0].strip(".") in TITLES:
             self.title = TITLES[words.pop(0).strip(".")]
-        bare = [_SAME_WORD.get(w.strip(".,'"), w.strip(".,'")) for w in words]
-        if len(bare) > 2 and (set(bare) & _LITTLE or set(bare) & {"GRAY", "COLORED", "COAT", "HAT"}) and not self.title:
+        bare = [w.strip(".,'") for w in words]
+        if len(bare) > 2 and (set(words) & _LITTLE or sum(f"f:{w}" in marks for w in bare) > 1) and not self.title:
             self.kind, self.words, self.rank = "thing", tuple(sorted(w for w in bare if w not in _LITTLE)), 3
             return
         middle = [w for w in words[1:-1] if len(w.strip(".")) > 1]
         if len(bare) >= 3 and middle and not self.title and not self.nick:
             self.kind, self.words, self.rank = "body", tuple(bare), 4
             return
-        if len(bare) == 2 and bare[1] in _BODIES and len(bare[0]) > 2 and not self.title:
+        self.staff = len(bare) == 2 and f"o:{bare[1]}" in marks
+        if self.staff and len(bare[0]) > 2 and not self.title:
             self.kind, self.words, self.rank = "body", (words[0] if words[0].endswith(".") else bare[0], bare[1]), 2
             return
         if len(bare) == 2 and words[0].endswith(".") and len(bare[0]) > 2:
@@ -123,8 +116,26 @@ class Name:
 
 
 @lru_cache(maxsize=200_000)
-def parse(form: str) -> Name:
-    return Name(form)
+def parse(form: str, marks: frozenset[str] = frozenset()) -> Name:
+    return Name(form, marks)
+
+
+class Known:
+    """What the cast lists say about the parts of two spellings: established parts and ("LONG>SHORT") nicknames."""
+
+    __slots__ = ("parts", "long", "short")
+
+    def __init__(self, parts: frozenset[str] = frozenset(), nicknames: frozenset[str] = frozenset()):
+        self.parts = parts
+        self.long: dict[str, set[str]] = {}
+        self.short: dict[str, set[str]] = {}
+        for pair in nicknames:
+            long, _, short = pair.partition(">")
+            self.long.setdefault(short, set()).add(long)
+            self.short.setdefault(long, set()).add(short)
+
+
+NOTHING = Known()
 
 
 @lru_cache(maxsize=400_000)
@@ -149,20 +160,20 @@ def within_two(a: str, b: str) -> bool:
     return any(within_one(a[:i] + a[i + 1 :], b) or within_one(a, b[:j] + b[j + 1 :]) for i in range(len(a)) for j in range(len(b)) if i == j)
 
 
-def alike(a: str, b: str, known: frozenset[str]) -> float:
+def alike(a: str, b: str, known: Known) -> float:
     """3 for the same part, 2 for one typing error; parts that are both established names are different names."""
     if a == b:
         return 3.0
-    if len(min(a, b, key=len)) < 3 or a in known and b in known or not within_one(a, b):
+    if len(min(a, b, key=len)) < 3 or a in known.parts and b in known.parts or not within_one(a, b):
         return 0.0
     return 2.0
 
 
-def given_alike(a: str, b: str, known: frozenset[str]) -> float:
+def given_alike(a: str, b: str, known: Known) -> float:
     """alike(), or 2.8 for a nickname of the other, 2.4 for two nicknames of one name."""
     best = alike(a, b, known)
-    if best < 2.8:
-        la, lb = _LONG.get(a, frozenset()), _LONG.get(b, frozenset())
+    if best < 2.8 and known.long:
+        la, lb = known.long.get(a, set()), known.long.get(b, set())
         if b in la or a in lb:
             return 2.8
         if la & lb:
@@ -172,21 +183,21 @@ def given_alike(a: str, b: str, known: frozenset[str]) -> float:
     return best
 
 
-def compare(a: Name, b: Name, known: frozenset[str]) -> tuple[float, bool]:
+def compare(a: Name, b: Name, known: Known) -> tuple[float, bool]:
     """(score, certain) of two spellings; 0 if they cannot mean the same."""
     if a.rank < b.rank:
         a, b = b, a
     if "role" in (a.kind, b.kind):
         if a.kind == b.kind:
-            same = alike(a.role, b.role, frozenset())
+            same = alike(a.role, b.role, NOTHING)
             return (same, True) if same and a.number == b.number else (0.0, False)
         return (2.0, False) if b.kind == "word" and a.kind == "role" and b.word == a.role else (0.0, False)
     if "thing" in (a.kind, b.kind):
         if a.kind == b.kind:
-            ok = len(a.words) == len(b.words) and all(alike(x, y, frozenset()) for x, y in zip(a.words, b.words))
+            ok = len(a.words) == len(b.words) and all(alike(x, y, NOTHING) for x, y in zip(a.words, b.words))
             return (3.0, True) if ok else (0.0, False)
-        words = set(_SAME_WORD.get(w, w) for w in (b.given, b.family, b.word) if w)
-        return (1.5, False) if a.kind == "thing" and b.kind == "full" and words <= set(a.words) else (0.0, False)
+        words = [w for w in (b.given, b.family, b.word) if w]
+        return (1.5, False) if a.kind == "thing" and b.kind == "full" and all(any(alike(w, x, NOTHING) for x in a.words) for w in words) else (0.0, False)
     if a.kind == "body":
         if b.kind == "body" and len(a.words) == len(b.words):
             ok = all(_short_for(x, y) or _short_for(y, x) or alike(x, y, known) for x, y in zip(a.words, b.words))
@@ -202,7 +213,7 @@ def compare(a: Name, b: Name, known: frozenset[str]) -> tuple[float, bool]:
         initials = "".join(w[0] for w in a.words)
         if b.kind == "word" and len(initials) > 2 and b.word == initials:
             return 2.6, True
-        if b.kind == "word" and len(b.word) > 2 and len(a.words) == 2 and b.word[0] == initials[0] and initials[1] in b.word[1:] and a.words[1] in _BODIES:
+        if b.kind == "word" and len(b.word) > 2 and len(a.words) == 2 and b.word[0] == initials[0] and initials[1] in b.word[1:] and a.staff:
             return 1.5, False
         if b.kind == "word" and any(alike(b.word, w, known) for w in a.words):
             return 1.0, False
@@ -215,7 +226,7 @@ def compare(a: Name, b: Name, known: frozenset[str]) -> tuple[float, bool]:
         if b.kind == "full":
             given = max(given_alike(x, y, known) for x, y in product(nicks, [b.given] + ([b.nick] if b.nick else [])))
             family = alike(a.family, b.family, known)
-            if given == 3 and not family and len(a.family) > 5 and not (a.family in known and b.family in known) and within_two(a.family, b.family):
+            if given == 3 and not family and len(a.family) > 5 and not (a.family in known.parts and b.family in known.parts) and within_two(a.family, b.family):
                 family = 1.4
             if given and family:
                 return given + family, given + family >= 4
@@ -231,7 +242,7 @@ def compare(a: Name, b: Name, known: frozenset[str]) -> tuple[float, bool]:
         if b.kind == "titled":
             family = alike(a.family, b.family, known)
             return (family + (a.title == b.title) - 0.5 * bool(a.title and a.title != b.title), False) if family else (0.0, False)
-        if len(b.word) > 6 and any(within_one(b.word, n + a.family) for x in nicks for n in (x, *_LONG.get(x, ()), *NICKNAMES.get(x, "").split())):
+        if len(b.word) > 6 and any(within_one(b.word, n + a.family) for x in nicks for n in (x, *known.long.get(x, ()), *known.short.get(x, ()))):
             return 5.0, True
         given = max(given_alike(n, b.word, known) for n in nicks)
         return (max(given, alike(a.family, b.word, known)), False)
@@ -283,40 +294,38 @@ def shortened(word: str) -> set[str]:
     return {word} | ({word[:i] + word[i + 1 :] for i in range(len(word))} if len(word) > 2 else set())
 
 
-def blocking_keys(forms: list[str]) -> set[str]:
-    """Under what a profile is compared with others."""
+def blocking_keys(n: Name, known: Known = NOTHING) -> set[str]:
+    """Under what a spelling is compared with others."""
     keys: set[str] = set()
-    for form in forms:
-        n = parse(form)
-        if n.kind == "role":
-            keys |= {f"#{n.number} {w}" for w in shortened(n.role)} | {n.role}
-        elif n.kind == "thing":
-            keys.add("~" + " ".join(n.words)[:2] + str(len(n.words)))
-            keys |= set(n.words)
-        elif n.kind == "body":
-            keys.add(n.words[0][0] + "*")
-            for w in n.words:
-                keys |= shortened(w.strip("."))
-                keys.add(w.strip(".")[:4] + ".")
-        else:
-            for part in (n.given, n.family, n.word, n.nick):
-                if part:
-                    keys |= shortened(part)
-                    for long in _LONG.get(part, ()):
-                        keys |= shortened(long)
-            if n.given and n.family:
-                for first in {n.given, n.nick, *_LONG.get(n.given, ()), *NICKNAMES.get(n.given, "").split()} - {""}:
-                    keys |= {first[:3] + ">" + n.family[-2:], first[:2] + "<" + n.family[-3:]}
-                keys.add(n.given[0] + "." + n.family[0] + ".")
-            if n.first and n.family:
-                keys.add(n.first + "." + n.family[0] + ".")
-            if n.given and n.last:
-                keys.add(n.given[0] + "." + n.last + ".")
-            if n.kind == "word" and 2 < len(n.word) < 6:
-                keys.add(n.word[0] + "*")
-            if n.kind == "word" and len(n.word) > 6:
-                keys |= {n.word[:3] + ">" + n.word[-2:], n.word[:2] + "<" + n.word[-3:]}
-                keys |= {n.word[:i] for i in range(3, len(n.word) - 2)} | {n.word[i:] for i in range(3, len(n.word) - 2)}
+    if n.kind == "role":
+        keys |= {f"#{n.number} {w}" for w in shortened(n.role)} | {n.role}
+    elif n.kind == "thing":
+        keys.add("~" + " ".join(n.words)[:2] + str(len(n.words)))
+        keys |= set(n.words)
+    elif n.kind == "body":
+        keys.add(n.words[0][0] + "*")
+        for w in n.words:
+            keys |= shortened(w.strip("."))
+            keys.add(w.strip(".")[:4] + ".")
+    else:
+        for part in (n.given, n.family, n.word, n.nick):
+            if part:
+                keys |= shortened(part)
+                for long in known.long.get(part, ()):
+                    keys |= shortened(long)
+        if n.given and n.family:
+            for first in {n.given, n.nick, *known.long.get(n.given, ()), *known.short.get(n.given, ())} - {""}:
+                keys |= {first[:3] + ">" + n.family[-2:], first[:2] + "<" + n.family[-3:]}
+            keys.add(n.given[0] + "." + n.family[0] + ".")
+        if n.first and n.family:
+            keys.add(n.first + "." + n.family[0] + ".")
+        if n.given and n.last:
+            keys.add(n.given[0] + "." + n.last + ".")
+        if n.kind == "word" and 2 < len(n.word) < 6:
+            keys.add(n.word[0] + "*")
+        if n.kind == "word" and len(n.word) > 6:
+            keys |= {n.word[:3] + ">" + n.word[-2:], n.word[:2] + "<" + n.word[-3:]}
+            keys |= {n.word[:i] for i in range(3, len(n.word) - 2)} | {n.word[i:] for i in range(3, len(n.word) - 2)}
     return keys
 
 
@@ -343,69 +352,176 @@ def pairs(members: DataFrame) -> DataFrame:
     return a.join(b, ["slug", "profile"]).where("name_a < name_b").select("slug", "name_a", "name_b").distinct()
 
 
-def resolve(names: DataFrame) -> DataFrame:
-    """(slug, name, profile) of every spelling.
+FORM = "slug string, id long, form string, known array<string>, nicknames array<string>, marks array<string>"
+
 
-    What two profiles share are the keys of their spellings, and how well they fit
-    is how well their best two spellings do. So spellings are blocked and compared
-    once; each round carries the pairs over to the profiles as they stand then.
+def _set(values) -> frozenset[str]:
+    return frozenset(values) if values is not None else frozenset()
+
+
+def lessons(spelled: DataFrame) -> DataFrame:
+    """(part, known, nickname, mark): what the forms (slug, form, cast) of all movies say about a part of a name.
+
+    A row has one of: known, the part itself if the cast lists of ESTABLISHED_IN
+    movies hold it; a nickname pair "LONG>SHORT", under either part; a mark of words
+    that name organisations (behind the first word of three or more) or figures
+    (beside little words) in cast lists.
     """
 
-    def forms(batches):
+    def told(batches):
         for batch in batches:
-            form = [normal(n) for n in batch["name"]]
-            yield batch.assign(form=form, parts=[re.findall(r"[^\W\d_]{2,}", f) for f in form])
-
-    spelled = runtime.cut(names.mapInPandas(forms, "slug string, name string, cast boolean, form string, parts array<string>").withColumn("id", F.xxhash64("slug", "form")))
-    established = spelled.where("cast").select("slug", F.explode("parts").alias("part")).distinct().groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") >= ESTABLISHED_IN).select("part")
-    known = spelled.select("id", F.explode("parts").alias("part")).distinct().join(established, "part").groupBy("id").agg(F.collect_set("part").alias("known"))
-    distinct = runtime.cut(spelled.select("slug", "id", "form").distinct().join(known, "id", "left"))
+            out = set()
+            for slug, form, cast in zip(batch["slug"], batch["form"], batch["cast"]):
+                n = parse(form)
+                if n.kind == "full":
+                    out |= {(slug, "given", g, n.family) for g in (n.given, n.nick) if g and " " not in g}
+                if not cast:
+                    continue
+                out |= {(slug, "known", p, None) for p in re.findall(r"[^\W\d_]{2,}", form)}
+                if n.kind == "body" and len(n.words) > 2:
+                    out |= {(slug, "mark", f"o:{w}", None) for w in n.words[1:]}
+                if n.kind == "thing":
+                    out |= {(slug, "mark", f"f:{w}", None) for w in n.words}
+            yield pd.DataFrame(list(out), columns=["slug", "kind", "value", "family"])
+
+    rows = runtime.cut(spelled.mapInPandas(told, "slug string, kind string, value string, family string").distinct())
+    counted = rows.where("kind <> 'given'").groupBy("kind", "value").agg(F.count("*").alias("n")).where(F.col("n") >= ESTABLISHED_IN)
+    mark = F.when(F.col("kind") == "mark", F.col("value"))
+    whole = counted.select(F.coalesce(F.substring(mark, 3, 1000), "value").alias("part"), F.when(F.col("kind") == "known", F.col("value")).alias("known"), F.lit(None).cast("string").alias("nickname"), mark.alias("mark"))
+    named = rows.where("kind = 'given'").select("slug", "family", F.col("value").alias("short"))
+    together = named.join(named.select("slug", "family", F.col("short").alias("long")), ["slug", "family"]).where((F.col("short") != F.col("long")) & (F.levenshtein("short", "long") > 1))
+    times = named.groupBy("short").agg(F.countDistinct("slug").alias("of"))
+    both = together.groupBy("short", "long").agg(F.countDistinct("slug").alias("n")).where(F.col("n") >= NICKNAMED_IN)
+    # The rarer name is the nickname.
+    rarer = both.join(times, "short").join(times.select(F.col("short").alias("long"), F.col("of").alias("long_of")), "long")
+    sure = rarer.where((F.col("n") >= NICKNAMED_SHARE * F.col("of")) & (F.col("of") < F.col("long_of"))).select("short", "long")
+    nicks = sure.select(F.explode(F.array("short", "long")).alias("part"), F.lit(None).cast("string").alias("known"), F.concat_ws(">", "long", "short").alias("nickname"), F.lit(None).cast("string").alias("mark"))
+    return whole.unionByName(nicks)
+
+
+def informed(forms: DataFrame, told: DataFrame) -> DataFrame:
+    """FORM: the forms (slug, id, form) with what the cast lists say about their parts."""
+    parts = forms.select("id", F.explode(F.array_distinct(F.regexp_extract_all("form", F.lit(r"(?U)[\p{L}]{2,}"), F.lit(0)))).alias("part"))
+    found = parts.join(told, "part").groupBy("id").agg(F.collect_set("known").alias("known"), F.collect_set("nickname").alias("nicknames"), F.collect_set("mark").alias("marks"))
+    return forms.select("slug", "id", "form").join(found, "id", "left").select("slug", "id", "form", "known", "nicknames", "marks")
+
+
+def blocked(forms: DataFrame) -> DataFrame:
+    """(key, id): forms under their blocking keys, each within its movie."""
 
     def keyed(batches):
         for batch in batches:
-            out = [(s, k, i) for s, i, f in zip(batch["slug"], batch["id"], batch["form"]) for k in blocking_keys([f])]
+            out = [(s, k, i) for s, i, f, nicks, marks in zip(*(batch[c] for c in ("slug", "id", "form", "nicknames", "marks"))) for k in blocking_keys(parse(f, _set(marks)), Known(nicknames=_set(nicks)))]
             yield pd.DataFrame(out, columns=["slug", "key", "id"])
 
-    blocks = distinct.select("slug", "id", "form").mapInPandas(keyed, "slug string, key string, id long").select(F.xxhash64("slug", "key").alias("key"), "id")
-    met = blocks.join(blocks.select("key", F.col("id").alias("other")), "key").where("id < other").select("id", "other").distinct()
-    left = distinct.select("id", F.col("slug").alias("slug_a"), F.col("form").alias("form_a"), F.col("known").alias("known_a"))
-    right = distinct.select(F.col("id").alias("other"), F.col("slug").alias("slug_b"), F.col("form").alias("form_b"), F.col("known").alias("known_b"))
+    return forms.mapInPandas(keyed, "slug string, key string, id long").select(F.xxhash64("slug", "key").alias("key"), "id")
 
-    def judged(batches):
+
+def judged(met: DataFrame, forms: DataFrame) -> DataFrame:
+    """(a, b, rank_a, rank_b, score, certain) of the pairs (id, other) that may mean the same."""
+    told = [c for c in forms.columns if c != "id"]
+    left = forms.select("id", *(F.col(c).alias(f"{c}_a") for c in told))
+    right = forms.select(F.col("id").alias("other"), *(F.col(c).alias(f"{c}_b") for c in told))
+    both = ["id", "other"] + [f"{c}_{side}" for side in "ab" for c in ("form", "known", "nicknames", "marks")]
+
+    def judge(batches):
         for batch in batches:
             out = []
-            for a, b, x, y, known_a, known_b in zip(*(batch[c] for c in ("id", "other", "form_a", "form_b", "known_a", "known_b"))):
-                one, two = parse(x), parse(y)
-                score, certain = compare(one, two, frozenset(known_a if known_a is not None else ()) | frozenset(known_b if known_b is not None else ()))
+            for a, b, x, known_a, nicks_a, marks_a, y, known_b, nicks_b, marks_b in zip(*(batch[c] for c in both)):
+                one, two = parse(x, _set(marks_a)), parse(y, _set(marks_b))
+                score, certain = compare(one, two, Known(_set(known_a) | _set(known_b), _set(nicks_a) | _set(nicks_b)))
                 if score:
                     out.append((a, b, one.rank, two.rank, score, certain))
             yield pd.DataFrame(out, columns=["a", "b", "rank_a", "rank_b", "score", "certain"])
 
-    matches = runtime.cut(met.join(left, "id").join(right, "other").where("slug_a = slug_b").mapInPandas(judged, "a long, b long, rank_a int, rank_b int, score double, certain boolean"))
-    profiles = distinct.select("id", F.col("id").alias("profile"))
+    pairs = met.join(left, "id").join(right, "other").where("slug_a = slug_b").select(*both)
+    return pairs.mapInPandas(judge, "a long, b long, rank_a int, rank_b int, score double, certain boolean")
+
+
+def fuller(forms: DataFrame, profiles: DataFrame, grown: DataFrame) -> DataFrame:
+    """(slug, id, form, profile): full names that the grown profiles hold only in parts, a given name in one spelling and a family name in another."""
+
+    def parts(batches):
+        for batch in batches:
+            out = []
+            for slug, i, form, marks in zip(batch["slug"], batch["id"], batch["form"], batch["marks"]):
+                n = parse(form, _set(marks))
+                if n.kind in ("full", "first", "last", "titled"):
+                    out.append((slug, i, n.kind == "full", n.given if n.kind == "last" else None, n.family if n.kind in ("first", "titled") else None, n.last or n.family[:1], n.first))
+            yield pd.DataFrame(out, columns=["slug", "id", "whole", "given", "family", "last", "first"])
+
+    held = forms.join(profiles.join(grown, "profile", "left_semi"), "id").select("slug", "profile", "id", "form", "marks")
+    said = held.mapInPandas(parts, "slug string, id long, whole boolean, given string, family string, last string, first string").join(profiles, "id")
+    lacking = runtime.cut(said.join(said.where("whole").select("profile").distinct(), "profile", "left_anti"))
+    given = lacking.where("given is not null").select("slug", "profile", "given", "last").distinct()
+    family = lacking.where("family is not null").select("profile", "family", "first").distinct()
+    fits = F.startswith("family", "last") & ((F.col("first") == "") | F.startswith("given", "first"))
+    made = given.join(family, "profile").where(fits).select("slug", "profile", F.concat_ws(" ", "given", "family").alias("form")).distinct()
+    # An id of its own beside those of the spellings: one name may be fuller than two profiles.
+    return made.select("slug", F.xxhash64("slug", "form", "profile").alias("id"), "form", "profile")
+
+
+def resolve(names: DataFrame) -> DataFrame:
+    """(slug, name, profile) of every spelling.
+
+    How well two profiles fit is how well their best spellings do, so what was
+    compared once is carried over to the merged profiles, and only what a merge
+    brings forth enters blocking and comparison again. Rounds end when there is
+    neither a merge nor a fuller name; RuntimeError beyond MOST_ROUNDS.
+    """
+
+    def normalised(batches):
+        for batch in batches:
+            yield batch.assign(form=[normal(n) for n in batch["name"]])
+
+    spelled = runtime.cut(names.mapInPandas(normalised, "slug string, name string, cast boolean, form string").withColumn("id", F.xxhash64("slug", "form")))
+    told = runtime.cut(lessons(spelled.groupBy("slug", "form").agg(F.max("cast").alias("cast"))))
+    forms = runtime.cut(informed(spelled.select("slug", "id", "form").distinct(), told))
+    blocks = runtime.cut(blocked(forms))
+    met = blocks.join(blocks.select("key", F.col("id").alias("other")), "key").where("id < other").select("id", "other").distinct()
+    matches = runtime.cut(judged(met, forms))
+    profiles = forms.select("id", F.col("id").alias("profile"))
     for _ in range(MOST_ROUNDS):
         moved = runtime.cut(_moves(matches))
         if moved.isEmpty():
             break
         profiles = runtime.cut(profiles.join(moved, "profile", "left").select("id", F.coalesce("target", "profile").alias("profile")))
-        matches = runtime.cut(_carried(matches, moved))
+        made = runtime.cut(fuller(forms, profiles, moved.select(F.col("target").alias("profile")).distinct()).join(forms.select("id"), "id", "left_anti"))
+        matches = _carried(matches, moved)
+        if not made.isEmpty():
+            fresh = runtime.cut(informed(made, told))
+            new_blocks = runtime.cut(blocked(fresh))
+            forms, blocks = runtime.cut(forms.unionByName(fresh)), blocks.unionByName(new_blocks)
+            profiles = profiles.unionByName(made.select("id", "profile"))
+            met = new_blocks.join(blocks.select("key", F.col("id").alias("other")), "key").where("id <> other").select("id", "other").distinct()
+            matches = _best(matches.unionByName(_placed(judged(met, forms), profiles)))
+        matches = runtime.cut(matches)
     else:
         if not _moves(matches).isEmpty():
             raise RuntimeError(f"profiles still merge after {MOST_ROUNDS} rounds")
     return spelled.select("slug", "name", "id").join(profiles, "id").select("slug", "name", "profile")
 
 
-def _carried(matches: DataFrame, moved: DataFrame) -> DataFrame:
-    """The pairs between profiles after a round, with the richest rank on either side and the best score."""
-    gone = moved.select(F.col("profile").alias("a"), F.col("target").alias("to_a"))
-    gone_b = moved.select(F.col("profile").alias("b"), F.col("target").alias("to_b"))
-    after = matches.join(gone, "a", "left").join(gone_b, "b", "left").select(F.coalesce("to_a", "a").alias("x"), F.coalesce("to_b", "b").alias("y"), "rank_a", "rank_b", "score", "certain")
+def _placed(matches: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Pairs of spellings as pairs of the profiles that hold them."""
+    at = lambda c: profiles.select(F.col("id").alias(c), F.col("profile").alias(f"to_{c}"))
+    return matches.join(at("a"), "a").join(at("b"), "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"), "rank_a", "rank_b", "score", "certain")
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """One row for two profiles: the best score, certain if any is, and on either side the richest rank."""
     # A profile is as rich as its richest spelling, also where that spelling takes no part in the pair.
-    ends = after.select(F.col("x").alias("p"), F.col("rank_a").alias("r")).unionByName(after.select(F.col("y").alias("p"), F.col("rank_b").alias("r"))).groupBy("p").agg(F.max("r").alias("r"))
-    apart = after.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score", "certain").groupBy("a", "b").agg(F.max("score").alias("score"), F.max("certain").alias("certain"))
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("p"), F.col("rank_a").alias("r")), F.struct(F.col("b").alias("p"), F.col("rank_b").alias("r")))).alias("x")).groupBy("x.p").agg(F.max("x.r").alias("r"))
+    apart = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score", "certain").groupBy("a", "b").agg(F.max("score").alias("score"), F.max("certain").alias("certain"))
     return apart.join(ends.select(F.col("p").alias("a"), F.col("r").alias("rank_a")), "a").join(ends.select(F.col("p").alias("b"), F.col("r").alias("rank_b")), "b").select("a", "b", "rank_a", "rank_b", "score", "certain")
 
 
+def _carried(matches: DataFrame, moved: DataFrame) -> DataFrame:
+    """The pairs between profiles after a round."""
+    to = lambda c: moved.select(F.col("profile").alias(c), F.col("target").alias(f"to_{c}"))
+    return _best(matches.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"), "rank_a", "rank_b", "score", "certain"))
+
+
 def _moves(matches: DataFrame) -> DataFrame:
     """(profile, target) of the profiles that one round merges into others."""
     one = F.struct(F.col("a").alias("own"), F.col("b").alias("other"), (F.col("rank_a") <= F.col("rank_b")).alias("poorer"), F.col("rank_b").alias("depth"))
