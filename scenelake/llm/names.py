@@ -13,6 +13,10 @@ they then hold, until neither a merge nor a fuller name is left.
 Nothing about the names is listed. Which nicknames stand for which given names,
 which words name organisations or figures ("MINING", "COAT") and which parts are
 established names is counted over the cast lists of all movies.
+
+The spellings of a movie lie together and are resolved in one pass over them. A
+movie with more than a stated number is resolved round by round in joins
+instead, so that no task holds it whole; both ways give the same profiles.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from pyspark.sql import functions as F
 from scenelake import runtime
 
 MOST_ROUNDS = 40  # beyond it an error
+MOST_IN_TASK = 5_000  # spellings of a movie that one task resolves; a movie with more is resolved by all tasks together, with the same result
 ESTABLISHED_IN = 3  # movies whose cast must hold a name part for it to be no typing error
 NICKNAMED_IN = 3  # movies in which two given names must go with one family name for one to stand for the other, and
 NICKNAMED_SHARE = 0.2  # the share of the movies that have the rarer one with a family name; brothers and sisters share a name by chance only
@@ -461,45 +466,170 @@ def fuller(forms: DataFrame, profiles: DataFrame, grown: DataFrame) -> DataFrame
     return made.select("slug", F.xxhash64("slug", "form", "profile").alias("id"), "form", "profile")
 
 
-def resolve(names: DataFrame) -> DataFrame:
-    """(slug, name, profile) of every spelling.
-
-    How well two profiles fit is how well their best spellings do, so what was
-    compared once is carried over to the merged profiles, and only what a merge
-    brings forth enters blocking and comparison again. Rounds end when there is
-    neither a merge nor a fuller name; RuntimeError beyond MOST_ROUNDS.
-    """
+def resolve(names: DataFrame, most: int = MOST_IN_TASK) -> DataFrame:
+    """(slug, name, profile) of every spelling; movies with over `most` different spellings are resolved by joins."""
 
     def normalised(batches):
         for batch in batches:
             yield batch.assign(form=[normal(n) for n in batch["name"]])
 
     spelled = runtime.cut(names.mapInPandas(normalised, "slug string, name string, cast boolean, form string").withColumn("id", F.xxhash64("slug", "form")))
-    told = runtime.cut(lessons(spelled.groupBy("slug", "form").agg(F.max("cast").alias("cast"))))
-    forms = runtime.cut(informed(spelled.select("slug", "id", "form").distinct(), told))
+    forms = runtime.cut(informed(spelled.select("slug", "id", "form").distinct(), lessons(spelled.groupBy("slug", "form").agg(F.max("cast").alias("cast")))))
+    large = runtime.cut(forms.groupBy("slug").count().where(F.col("count") > most).select("slug"))
+    if large.isEmpty():
+        profiles = resolved_in_task(forms)
+    else:
+        told = lessons(spelled.groupBy("slug", "form").agg(F.max("cast").alias("cast")))
+        profiles = resolved_in_task(forms.join(large, "slug", "left_anti")).unionByName(resolved_by_joins(forms.join(large, "slug", "left_semi"), told))
+    return spelled.select("slug", "name", "id").join(profiles, "id").select("slug", "name", "profile")
+
+
+def resolved_in_task(forms: DataFrame) -> DataFrame:
+    """(id, profile) of the forms FORM, each movie in one task."""
+
+    def run(batches):
+        slug, held = None, []
+        for batch in batches:
+            out = []
+            for row in zip(*(batch[c] for c in ("slug", "id", "form", "known", "nicknames", "marks"))):
+                if row[0] != slug and held:
+                    out += Movie(held).profiles()
+                    held = []
+                slug = row[0]
+                held.append((int(row[1]), row[2], *map(_set, row[3:])))
+            if out:
+                yield pd.DataFrame(out, columns=["id", "profile"])
+        if held:
+            yield pd.DataFrame(Movie(held).profiles(), columns=["id", "profile"])
+
+    return forms.repartition("slug").sortWithinPartitions("slug").mapInPandas(run, "id long, profile long")
+
+
+class Movie:
+    """The spellings (id, form, known, nicknames, marks) of one movie, merged and matched again round by round."""
+
+    def __init__(self, spellings: list[tuple]):
+        self.spellings = {i: (parse(form, marks), known, nicknames) for i, form, known, nicknames, marks in spellings}
+        self.told = {part: (known, nicknames) for _, form, known, nicknames, _ in spellings for part in re.findall(r"[^\W\d_]{2,}", form)}
+        self.own = list(self.spellings)
+        self.profile = {i: i for i in self.spellings}
+        self.blocks: dict[str, list[int]] = {}
+        self.matches: dict[tuple[int, int], list] = {}
+
+    def meet(self, fresh: list[int]) -> list[tuple]:
+        """(profile, profile, rank, rank, score, certain) of the fresh spellings and those before them under the same keys."""
+        seen, found = set(), []
+        for i in fresh:
+            name, known, nicknames = self.spellings[i]
+            for key in blocking_keys(name, Known(nicknames=nicknames)):
+                block = self.blocks.setdefault(key, [])
+                for j in block:
+                    pair = (min(i, j), max(i, j))
+                    if pair not in seen:
+                        seen.add(pair)
+                        a, b = (self.spellings[x] for x in pair)
+                        score, certain = compare(a[0], b[0], Known(a[1] | b[1], a[2] | b[2]))
+                        if score:
+                            found.append((self.profile[pair[0]], self.profile[pair[1]], a[0].rank, b[0].rank, score, certain))
+                block.append(i)
+        return found
+
+    def keep(self, found: list[tuple]) -> None:
+        """One match for two profiles: the best score, certain if any is, and on either side the richest rank."""
+        ranks: dict[int, int] = {}
+        best: dict[tuple[int, int], list] = {}
+        for a, b, rank_a, rank_b, score, certain in found:
+            ranks[a], ranks[b] = max(rank_a, ranks.get(a, 0)), max(rank_b, ranks.get(b, 0))
+            if a != b:
+                pair = best.setdefault((min(a, b), max(a, b)), [0, 0, 0.0, False])
+                pair[2], pair[3] = max(pair[2], score), pair[3] or certain
+        for (a, b), pair in best.items():
+            pair[0], pair[1] = ranks[a], ranks[b]
+        self.matches = best
+
+    def moves(self) -> dict[int, int]:
+        """The profiles that one round merges into others."""
+        sides: dict[int, list[tuple]] = {}
+        for (a, b), (rank_a, rank_b, score, certain) in self.matches.items():
+            sides.setdefault(a, []).append((b, rank_a <= rank_b, (score, rank_b), certain))
+            sides.setdefault(b, []).append((a, rank_b <= rank_a, (score, rank_a), certain))
+        beside: dict[int, set[int]] = {}
+        for own, others in sides.items():
+            top = max((fit for _, poorer, fit, _ in others if poorer), default=None)
+            tied = [o for o, poorer, fit, _ in others if poorer and fit == top]
+            for other in {o for o, _, _, certain in others if certain} | set(tied if len(tied) == 1 else ()):
+                beside.setdefault(own, set()).add(other)
+                beside.setdefault(other, set()).add(own)
+        least = {own: min(own, *others) for own, others in beside.items()}
+        target = {own: least.get(to, to) for own, to in least.items()}
+        return {own: to for own, to in target.items() if own != to}
+
+    def fuller(self, grown: set[int]) -> list[int]:
+        """New spellings: full names that the grown profiles hold only in parts."""
+        parts: dict[int, tuple[set, set, list]] = {}
+        for i, at in self.profile.items():
+            if at in grown:
+                given, family, whole = parts.setdefault(at, (set(), set(), []))
+                n = self.spellings[i][0]
+                if n.kind == "full":
+                    whole.append(n)
+                elif n.kind == "last":
+                    given.add((n.given, n.last))
+                elif n.kind in ("first", "titled"):
+                    family.add((n.family, n.first))
+        made = []
+        for at, (given, family, whole) in parts.items():
+            for form in sorted({f"{g} {f}" for g, last in given for f, first in family if f.startswith(last) and g.startswith(first)} if not whole else ()):
+                i = hash((form, at))
+                if i not in self.spellings:
+                    told = [self.told[p] for p in form.split() if p in self.told]
+                    self.spellings[i] = (parse(form), frozenset().union(*(k for k, _ in told)), frozenset().union(*(n for _, n in told)))
+                    self.profile[i] = at
+                    made.append(i)
+        return made
+
+    def profiles(self) -> list[tuple[int, int]]:
+        """(id, profile) of the spellings given."""
+        self.keep(self.meet(self.own))
+        for _ in range(MOST_ROUNDS + 1):
+            moved = self.moves()
+            if not moved:
+                return [(i, self.profile[i]) for i in self.own]
+            self.profile = {i: moved.get(at, at) for i, at in self.profile.items()}
+            carried = [(moved.get(a, a), moved.get(b, b), *rest) for (a, b), rest in self.matches.items()]
+            self.keep(carried + self.meet(self.fuller(set(moved.values()))))
+        raise RuntimeError(f"profiles still merge after {MOST_ROUNDS} rounds")
+
+
+def resolved_by_joins(forms: DataFrame, told: DataFrame) -> DataFrame:
+    """(id, profile) of the forms FORM, round by round over all of them.
+
+    How well two profiles fit is how well their best spellings do, so what was
+    compared once is carried over to the merged profiles, and only what a merge
+    brings forth enters blocking and comparison again. Rounds end when there is
+    neither a merge nor a fuller name; RuntimeError beyond MOST_ROUNDS.
+    """
+    forms, told, own = runtime.cut(forms), runtime.cut(told), forms.select("id")
     blocks = runtime.cut(blocked(forms))
     met = blocks.join(blocks.select("key", F.col("id").alias("other")), "key").where("id < other").select("id", "other").distinct()
     matches = runtime.cut(judged(met, forms))
     profiles = forms.select("id", F.col("id").alias("profile"))
-    for _ in range(MOST_ROUNDS):
+    for _ in range(MOST_ROUNDS + 1):
         moved = runtime.cut(_moves(matches))
         if moved.isEmpty():
-            break
+            return profiles.join(own, "id", "left_semi")
         profiles = runtime.cut(profiles.join(moved, "profile", "left").select("id", F.coalesce("target", "profile").alias("profile")))
         made = runtime.cut(fuller(forms, profiles, moved.select(F.col("target").alias("profile")).distinct()).join(forms.select("id"), "id", "left_anti"))
         matches = _carried(matches, moved)
         if not made.isEmpty():
             fresh = runtime.cut(informed(made, told))
             new_blocks = runtime.cut(blocked(fresh))
-            forms, blocks = runtime.cut(forms.unionByName(fresh)), blocks.unionByName(new_blocks)
+            forms, blocks = runtime.cut(forms.unionByName(fresh)), runtime.cut(blocks.unionByName(new_blocks))
             profiles = profiles.unionByName(made.select("id", "profile"))
             met = new_blocks.join(blocks.select("key", F.col("id").alias("other")), "key").where("id <> other").select("id", "other").distinct()
             matches = _best(matches.unionByName(_placed(judged(met, forms), profiles)))
         matches = runtime.cut(matches)
-    else:
-        if not _moves(matches).isEmpty():
-            raise RuntimeError(f"profiles still merge after {MOST_ROUNDS} rounds")
-    return spelled.select("slug", "name", "id").join(profiles, "id").select("slug", "name", "profile")
+    raise RuntimeError(f"profiles still merge after {MOST_ROUNDS} rounds")
 
 
 def _placed(matches: DataFrame, profiles: DataFrame) -> DataFrame:

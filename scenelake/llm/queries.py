@@ -33,6 +33,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.same_character(read(spark, sf_dir, "characters"), read(spark, sf_dir, "scenes"))
 
 
+def p3_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with the profile it belongs to: membership instead of pairs."""
+    return names.resolve(names.spellings(read(spark, sf_dir, "characters"), read(spark, sf_dir, "scenes")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Garbled action lines and dialogue lines."""
     return encoding.garbled(read(spark, sf_dir, "scenes")).select("scene_id", "field_name", "pos").distinct()
@@ -74,12 +79,17 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "heldout_cases")).select("doc_id", "item_id")
 
 
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the items they leak: words of the passage, shares of the question's and the answer's words."""
+    return leakage.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "heldout_cases"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are mainly keywords, links or wares."""
     return stuffing.spam(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_linked, p2_found, p2_repaired, p3_found, p4_found, p4_restored, p5_found, p5_plot_pieces, p5_dialogue_pieces, p6_found, p7_ids, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_linked, p2_found, p2_repaired, p3_found, p3_profiles, p4_found, p4_restored, p5_found, p5_plot_pieces, p5_dialogue_pieces, p6_found, p7_ids, p8_found, p8_leaks, p9_found)}
 
 _SPOKEN = "array_to_string(list_transform(list_filter(dialogue, lambda d: regexp_matches(coalesce(d.character, ''), '\\S') AND regexp_matches(coalesce(d.line, ''), '\\S')), lambda d: d.character || ': ' || d.line), ' ')"
 SQL: dict[str, str] = {

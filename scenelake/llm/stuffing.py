@@ -30,6 +30,7 @@ SENTENCE_ENDS = 0.03  # a word, under which a block has no sentences
 EXTREME = 1.7  # times the ordinary ratio of the text: stuffed sentences
 SENTENCES = 0.12  # ends a word, from which on a block is sentences however redundant
 LISTED = 0.5  # share of lines that are entries, from which on a block is a list
+LEAST_BLOCKS = 30  # under which a language has no ordinary ratio of its own for a length, and that of all languages stands in
 SPAM_SHARE = 0.5
 
 _END = re.compile(r"[.!?…][\"”»’')]*(?=\s|$)")
@@ -112,8 +113,10 @@ def spam_share(documents: DataFrame, key: str = "doc_id", text: str = "text", la
             yield pd.DataFrame(out, columns=["key", "lang", "size", "chars", "ratio", "shape", "ends", "listed"])
 
     measured = runtime.cut(rows.mapInPandas(measure, f"key {kind}, lang string, size int, chars int, ratio double, shape double, ends double, listed double"))
-    usual = lambda c: F.percentile_approx(c, 0.5, 1000).alias(f"usual_{c}")
-    ordinary = measured.groupBy("lang", "size").agg(usual("ratio"), usual("shape"))
+    medians = lambda rows, end: rows.agg(F.count("*").alias(f"n{end}"), *(F.percentile_approx(c, 0.5, 1000).alias(f"{c}{end}") for c in ("ratio", "shape")))
+    by_size, by_lang = medians(measured.groupBy("size"), "_all"), medians(measured.groupBy("lang", "size"), "_own")
+    own = F.col("n_own") >= LEAST_BLOCKS
+    ordinary = by_lang.join(F.broadcast(by_size), "size").select("lang", "size", *(F.when(own, F.col(f"{c}_own")).otherwise(F.col(f"{c}_all")).alias(f"usual_{c}") for c in ("ratio", "shape")))
     # At most five languages times ten sizes.
     judged = measured.join(F.broadcast(ordinary), ["lang", "size"])
     stuffed = is_stuffed(F.col("ratio") / F.col("usual_ratio"), F.col("shape") / F.col("usual_shape"), F.col("ends"), F.col("listed"))

@@ -243,8 +243,26 @@ def test_expectation_maximisation_separates():
 
 
 def test_profiles_that_still_merge_at_the_bound_are_an_error(spark, monkeypatch):
-    rows = spark.createDataFrame([("m", n, True) for n in ("MARGARET HOLLOWAY", "MARGARET HOLOWAY")], "slug string, name string, cast boolean")
-    assert len({r.profile for r in names.resolve(rows).collect()}) == 1
+    held = [(i, n, frozenset(), frozenset(), frozenset()) for i, n in enumerate(("MARGARET HOLLOWAY", "MARGARET HOLOWAY"))]
+    assert len({at for _, at in names.Movie(held).profiles()}) == 1
     monkeypatch.setattr(names, "MOST_ROUNDS", 0)
     with pytest.raises(RuntimeError, match="still merge"):
-        names.resolve(rows)
+        names.Movie(held).profiles()
+    rows = spark.createDataFrame([("m", n, True) for n in ("MARGARET HOLLOWAY", "MARGARET HOLOWAY")], "slug string, name string, cast boolean")
+    with pytest.raises(RuntimeError, match="still merge"):
+        names.resolve(rows, most=0)
+
+
+def test_joins_give_the_profiles_that_a_task_gives(spark):
+    said = "MARA QUINN,M. QUINN,QUINN,MARA,MARRA QUINN,QUINN| MARA,MARAQUINN,MARA Q.,DR. QUILLBERG,ANNA Q.,A. QUILLBERG,ANNIEQUILBERG,ANNA QUILLBERG (V.O.),JUROR 1,1ST JUROR,JUROR #2,SILAS ELSTETTE,KENJI ELSTETTE,ELSTETTE,S. ELSTETTE"
+    rows = [("m", n.replace("|", ","), False) for n in said.split(",")] + [("n", n.replace("|", ","), True) for n in said.split(",")[:9]]
+    rows += [(f"o{i}", n, True) for i in range(3) for n in (f"Anna Zelk{'aoe'[i]}", f"Annie Zelk{'aoe'[i]}")] + [("o5", "Anna Trost", True)]
+    df = spark.createDataFrame(rows, "slug string, name string, cast boolean")
+
+    def groups(most):
+        found = {}
+        for r in names.resolve(df, most).collect():
+            found.setdefault((r.slug, r.profile), set()).add(r.name)
+        return sorted((s, sorted(g)) for (s, _), g in found.items())
+
+    assert groups(0) == groups(1000)

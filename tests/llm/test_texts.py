@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -196,6 +197,37 @@ def test_pruning_loses_nothing():
     found = index.candidates(ids)
     want = {(n, i) for n, d in enumerate(ids) for i in range(len(items)) if leakage.longest_quote(d, index.passages[i].tolist())}
     assert want and want <= set(found)
+    # Block-max WAND against adding up every posting.
+    for d in ids:
+        terms = {}
+        for key in leakage._grams(np.array(d, np.int64))[0]:
+            t = int(np.searchsorted(index.keys, key))
+            if t < len(index.keys) and index.keys[t] == key:
+                terms[t] = terms.get(t, 0) + 1
+        total = {}
+        for t, n in terms.items():
+            for k in range(index.post_at[t], index.post_at[t + 1]):
+                total[index.post_item[k]] = total.get(index.post_item[k], 0.0) + n * index.post_score[k]
+        assert sorted(index.wand(terms)) == sorted(i for i, x in total.items() if x >= index.threshold)
+
+
+def test_single_equal_words_and_early_alterations_count():
+    passage = list(range(100, 160))
+    doc = passage[:40]
+    doc[3] = doc[5] = 7  # a single equal word between two altered ones, early in the quote
+    assert leakage.longest_quote(doc, passage) == 40
+    doc = passage[:30]
+    doc[2] = 7
+    assert leakage.longest_quote(doc[:26], passage) == 26
+    assert leakage.longest_quote([w if k % 4 else 7 for k, w in enumerate(passage)], passage) == 0
+
+
+def test_question_and_answer_overlap(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    held = spark.createDataFrame([(1, passage, "who hid the lamp", ["the red lamp", None]), (2, passage + " x", None, None)], "item_id long, passage string, query_text string, ground_truth array<string>")
+    docs = spark.createDataFrame([(5, passage + " and the lamp who")], "doc_id long, text string")
+    got = {r.item_id: (r.words, round(r.question, 2), round(r.answer, 2)) for r in leakage.leaks(docs, held).collect()}
+    assert got == {1: (40, 0.75, 0.67), 2: (40, 0.0, 0.0)}
 
 
 # --- spam (problem 9) ---
