@@ -30,7 +30,7 @@ SENTENCE_ENDS = 0.03  # a word, under which a block has no sentences
 EXTREME = 1.7  # times the ordinary ratio of the text: stuffed sentences
 SENTENCES = 0.12  # ends a word, from which on a block is sentences however redundant
 LISTED = 0.5  # share of lines that are entries, from which on a block is a list
-LEAST_BLOCKS = 30  # under which a language has no ordinary ratio of its own for a length, and that of all languages stands in
+LEAST_BLOCKS = 30  # under which a language has no ordinary ratio of its own for a length, and that of all languages stands in, then that of all lengths
 SPAM_SHARE = 0.5
 
 _END = re.compile(r"[.!?…][\"”»’')]*(?=\s|$)")
@@ -108,15 +108,20 @@ def spam_share(documents: DataFrame, key: str = "doc_id", text: str = "text", la
         for batch in batches:
             out = []
             for k, t, l in zip(batch["key"], batch["text"], batch["lang"]):
-                known = language(l)
-                out.extend((k, known, min(x[0] // 100, 9), *x) for x in map(traits, blocks(t)))
-            yield pd.DataFrame(out, columns=["key", "lang", "size", "chars", "ratio", "shape", "ends", "listed"])
-
-    measured = runtime.cut(rows.mapInPandas(measure, f"key {kind}, lang string, size int, chars int, ratio double, shape double, ends double, listed double"))
+                known, sizes = language(l), set()
+                for x in map(traits, blocks(t)):
+                    size = min(x[0] // 100, 9)
+                    out.append((k, known, size, size not in sizes, *x))
+                    sizes.add(size)
+            yield pd.DataFrame(out, columns=["key", "lang", "size", "lead", "chars", "ratio", "shape", "ends", "listed"])
+
+    measured = runtime.cut(rows.mapInPandas(measure, f"key {kind}, lang string, size int, lead boolean, chars int, ratio double, shape double, ends double, listed double"))
     medians = lambda rows, end: rows.agg(F.count("*").alias(f"n{end}"), *(F.percentile_approx(c, 0.5, 1000).alias(f"{c}{end}") for c in ("ratio", "shape")))
-    by_size, by_lang = medians(measured.groupBy("size"), "_all"), medians(measured.groupBy("lang", "size"), "_own")
-    own = F.col("n_own") >= LEAST_BLOCKS
-    ordinary = by_lang.join(F.broadcast(by_size), "size").select("lang", "size", *(F.when(own, F.col(f"{c}_own")).otherwise(F.col(f"{c}_all")).alias(f"usual_{c}") for c in ("ratio", "shape")))
+    lead = measured.where("lead")  # one block of each length of a text, so that no long text outweighs the others
+    by_lang, by_size, whole = medians(lead.groupBy("lang", "size"), "_own"), medians(lead.groupBy("size"), "_size"), medians(lead.groupBy(), "_all")
+    enough = lambda end: F.col(f"n{end}") >= LEAST_BLOCKS
+    usual = lambda c: F.when(enough("_own"), F.col(f"{c}_own")).when(enough("_size"), F.col(f"{c}_size")).otherwise(F.col(f"{c}_all")).alias(f"usual_{c}")
+    ordinary = by_lang.join(F.broadcast(by_size), "size").crossJoin(F.broadcast(whole)).select("lang", "size", usual("ratio"), usual("shape"))  # one row of medians of all
     # At most five languages times ten sizes.
     judged = measured.join(F.broadcast(ordinary), ["lang", "size"])
     stuffed = is_stuffed(F.col("ratio") / F.col("usual_ratio"), F.col("shape") / F.col("usual_shape"), F.col("ends"), F.col("listed"))

@@ -236,12 +236,18 @@ def test_question_and_answer_overlap(spark):
 def test_spam(spark):
     rng = random.Random(2)
     nouns = "lantern harbor widow mirror letter garden river winter".split()
-    prose = lambda n: " ".join(f"The {rng.choice(nouns)} of the {rng.choice(nouns)} waits for a {rng.choice(nouns)} in the {rng.choice(nouns)}, and then it is over." for _ in range(n))
+    little = "the of a to in and it is was for on with that at by from as he she her not but who all an or so".split()
+    names = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(400)] + nouns
+
+    def prose(n):
+        sentence = lambda: " ".join(rng.choice(little if rng.random() < 0.45 else names) for _ in range(rng.randint(5, 16))).capitalize()
+        return " ".join(sentence() + rng.choice([".", ".", "?", "!"]) for _ in range(n))
+
     docs = [(i, prose(12), rng.choice(["en", "EN", None])) for i in range(40)]
     docs += [
         (100, " ".join(rng.choice(["rope", "lamp", "oar"]) for _ in range(300)), "en"), (101, "\n".join(f"- [rope {i}](http://a{i}.example/tag/x{i}.html)" for i in range(40)), "fr"),
         (102, "\n".join(f"Velvet rope {i} DVD SKU{i * 77} {i}.99 NEW" for i in range(40)), "de"), (103, prose(6) + "\nhttp://a.example/b", "en"),
-        (104, "Filmography\n" + "\n".join(f"{1950 + i} - The {rng.choice(nouns)} of {rng.choice(nouns)}" for i in range(20)), "en"), (105, None, "en"), (106, "", None), (107, "  ", "en"), (100, "rope " * 300, "en"),
+        (104, "Filmography\n" + "\n".join(f"{1950 + i} - The {rng.choice(names)} of {rng.choice(names)}" for i in range(20)), "en"), (105, None, "en"), (106, "", None), (107, "  ", "en"), (100, "rope " * 300, "en"),
         (108, "lamp " * 20000, "es"), (109, prose(400), "en"),
     ]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumn("key", F.lit(0))
