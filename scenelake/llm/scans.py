@@ -1,12 +1,16 @@
 """Noise of scanned pages in headings and action lines (problem 2).
 
-The words of the whole corpus are counted. A line that repeats, up to misread
-characters, at the page edges of a movie is a running header; page numbers and
-"continued" marks are taken out with it. A word that the corpus hardly holds,
-and that undoing a usual misreading turns into one that it holds very often, was
-misread. What is left is joined: a word cut by a hyphen becomes the whole word
-or the hyphenated one, whichever the corpus holds, and lines that broke within
-a sentence become one paragraph.
+The words of the whole corpus are counted. Lines at page edges (in capitals, or
+with a page number or draft mark) that come again in a movie, up to a bounded
+edit distance, are running headers; bare numbers that rise with the scenes are
+page numbers; both are taken out with "continued" marks. A word that the corpus
+hardly holds, and that undoing a usual misreading turns into one that it holds
+very often, was misread. What is left is joined: a word cut by a hyphen becomes
+the whole word or the hyphenated one, whichever the corpus holds, and lines that
+broke within a sentence become one paragraph.
+
+There is one way through: a field has noise if its repair has other words or
+signs than the field itself.
 """
 
 from __future__ import annotations
@@ -20,29 +24,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenelake import runtime
+from scenelake.llm.canonical import distance
 
 MOST_WORDS = 100_000  # words the executors hold, all that count LEAST_COUNT or more; beyond it an error
 LEAST_COUNT = 5
 TIMES_COMMONER = 40
 REPEATS = 3  # scenes of a movie that must hold a line for it to be a running header
+HEADER_ERRORS = 0.15  # of its letters, by which a line may differ from a running header
+RISING = 0.5  # correlation with the scene's number, under which three and more bare numbers are no page numbers
+FEW_HEADERS = 100_000  # rows of headers that are sent to all executors; more are joined by the movie
 
 # Fixed: what scanners read for what stood there.
 MISREAD = tuple(p.split(">") for p in "@>a 0>o c>e †>t 1>l 1>i !>i !>l li>h ri>n 9>g cl>d ii>u vv>w rn>m £>e 5>s l>i l>t 4>a nn>m lv>n 6>g 6>b m>rn d>cl ﬂ>fl ﬁ>fi 8>b 3>e $>s |>l ¦>i n>ri u>ii h>li i>l e>c".split())
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _JAVA_WORD = r"(?U)\p{L}+(?:['’-]\p{L}+)*"
-_ODD = re.compile(r"[†@|¦£$§ﬁﬂ¬\xad·•~^]|(?<=[^\W\d_])!(?=[^\W\d_])|(?<=[^\W\d_])\d+(?=[^\W\d_])")
 _CUT = re.compile(r"(?<=[^\W\d_])[-¬\xad‐]\s*[\r\n]\s*(?=[^\W\d_])|(?<=[^\W\d_])- (?=[^\W\d_])")
 _CUT_END = re.compile(r"(?<=[^\W\d_])[-¬\xad‐]\s*$")
 _STRAY = re.compile(r"(?:^|(?<=\s))(?:[|¦·•~^]|'~|~')(?=\s|$)")
-_DIGIT_WORD = re.compile(r"(?<![\w-])(?:\d[^\W\d_]{2,}|[^\W\d_]{2,}\d|[^\W\d_]+\d+[^\W\d_]+[\w]*)(?![\w-])")
-# Fixed: digits that belong to a word.
-_NUMBER_WORD = re.compile(r"(?i)^\d+(?:st|nd|rd|th|s|am|pm|mm|cm|km|kg|ft|p)$")
 _PAGE = re.compile(r"(?i)^\W*(?:page\s*)?[\dlO]{0,3}\d[\dlO]{0,3}(?:\s*(?:of|/)\s*[\dlO]{1,4})?\W*$")
 _PAGE_WORD = re.compile(r"(?i)^\W*p[a@]ge\s+[\dlO]{1,4}(?:\s+[o0]f\s+[\dlO]{1,4})?\W*$")
 _TAIL = re.compile(r"\s{2,}[\dlO]{1,4}\s*\.?\s*$|\s/\s[\dlO]{1,4}\s*$|\s[-–]\s*Rev\..*$|\s{2,}Rev\..*$")
 _HEAD = re.compile(r"(?i)^\W*(?:(?:white|blue|pink|yellow|green|goldenrod|buff|salmon|cherry|tan|revised|final|shooting)\s+(?:draft|rev\w*|pages?|script))\W+|^\W*\d{1,4}\s{2,}")
 _HEADING_PAGE = re.compile(r"(?<!ROOM)(?<!APARTMENT)(?<!SUITE)(?<!STAGE)(?<!FLOOR)(?<!ROUTE)\s+[-\[(]?\s*[\dlO]*\d[\dlO]*\s*[-\])]?\.?\s*$")
-_CLEAN_HEADING = re.compile(r"^(?:INT|EXT|I/E|INT\./EXT|EXT\./INT|INT/EXT|EXT/INT)\.? \S")
 _LETTERS = str.maketrans("@01!5†£8|$9463", "aoiistebisgagE".lower())
 
 
@@ -54,23 +57,24 @@ def plain_letters(text: str) -> str:
 @lru_cache(maxsize=50_000)
 def is_continued(line: str) -> bool:
     """CONTINUED in any of its forms, with page or part numbers, however misread."""
-    if len(line) > 40:
-        return False
     word = plain_letters(re.sub(r"\(\s*[\dlO]+\s*\)|(?:^|\s)\d+\.?(?=\s|$)", " ", line))
     if word in ("continued", "contd", "cont", "more"):
         return not re.fullmatch(r"(?i)more\W*", line.strip()) or line.strip().startswith("(")
     return 8 <= len(word) <= 11 and sum((Counter("continued") - Counter(word.replace("l", "i").replace("rn", "m"))).values()) <= 1 and word[:2] in ("co", "eo", "cc") and line.strip()[:1] in "(C0cG123456789"
 
 
-def page_mark(line: str) -> bool:
-    """A page number by itself or a "continued" mark."""
-    return bool(_PAGE.match(line) and len(line.strip()) <= 16 or _PAGE_WORD.match(line)) or is_continued(line)
+def bare_number(line: str) -> int | None:
+    """The number of a line that is nothing else, however misread."""
+    return int(re.sub(r"\D", "", line.split("of")[0].split("/")[0].replace("l", "1").replace("O", "0")) or 0) if _PAGE.match(line) else None
+
+
+def page_mark(line: str, numbered: bool = True) -> bool:
+    """A page number by itself, where the movie has such, or a "continued" mark."""
+    return bool(numbered and _PAGE.match(line) or _PAGE_WORD.match(line)) or is_continued(line)
 
 
 def edge_line(line: str) -> str:
     """The letters of a line that may be a running header, or ''."""
-    if len(line) > 110 or len(line) < 5:
-        return ""
     tail = _TAIL.search(line)
     body = _TAIL.sub("", _HEAD.sub("", line))
     letters = [c for c in body if c.isalpha()]
@@ -81,10 +85,18 @@ def edge_line(line: str) -> str:
 
 
 def signatures(letters: str) -> list[str]:
-    """Two ends of a line's letters; one misread character leaves one of them whole."""
+    """Two ends of a line's letters, under which lines that may be the same meet."""
     return [letters[:7], letters[-7:]] if letters else []
 
 
+@lru_cache(maxsize=100_000)
+def same_header(letters: str, header: str) -> bool:
+    """Whether a line's letters are those of a header, or of its beginning, up to a few errors."""
+    a, b = sorted((letters, header), key=len)
+    most = max(1.0, HEADER_ERRORS * len(a))
+    return distance(a, b, most) <= most or len(a) >= 8 and distance(a, b[: len(a)], most) <= most
+
+
 def like_slug(letters: str, slug: str | None) -> bool:
     """Whether the letters begin as the movie's slug does, up to a misread character or two."""
     own = plain_letters(slug or "")
@@ -107,7 +119,7 @@ def undone(word: str, depth: int = 2) -> list[str]:
                     step[w[:at] + stood + w[at + len(read) :]] = None
                     at = w.find(read, at + 1)
         found |= step
-        last = dict(list(step.items())[:400])
+        last = step
     return list(found)
 
 
@@ -175,14 +187,6 @@ class Vocabulary:
             return fixed
         return fixed if len(low) > 5 and fixed in undone(low, 1) else low
 
-    def misread(self, text: str) -> bool:
-        """Whether some word of the text was misread."""
-        for m in _WORD.finditer(text):
-            low = m[0].lower()
-            if self.known.get(low) != low and self.original(low) != low and self.certain(m[0], _named(text, m)) != low:
-                return True
-        return False
-
     def repair(self, text: str) -> str:
         """The text with misread words put right and stray marks taken out."""
 
@@ -206,42 +210,8 @@ class Vocabulary:
         return left + ("-" if hyphened > whole else "") + right
 
 
-def evidence(heading: str | None, lines: list[str | None], slug: str | None, vocabulary: Vocabulary) -> tuple[set[str], list[str]]:
-    """(fields with certain noise, letters of all lines that are noise if they repeat, also beside certain noise)."""
-    fields, edges = set(), []
-    if heading and heading.strip():
-        text = heading.strip()
-        if not _CLEAN_HEADING.match(text) or _CUT.search(text) or _ODD.search(text) or _STRAY.search(text) or _TAIL.search(text) or _HEADING_PAGE.search(text) or re.search(r"\s\(?CONT(?:INUED|'D)\)?", text):
-            fields.add("heading")
-        elif _digit_word(text) or vocabulary.misread(text):
-            fields.add("heading")
-    noisy = False
-    for line in lines:
-        if not line or not line.strip():
-            continue
-        if page_mark(line):
-            noisy = True
-            continue
-        letters = edge_line(line)
-        if letters:
-            edges.append(letters)
-        noisy = noisy or bool(_CUT.search(line) or _CUT_END.search(line) or _STRAY.search(line) or letters and like_slug(letters, slug) or _garbled_mark(line) or _digit_word(line) or vocabulary.misread(line))
-    if noisy:
-        fields.add("action_lines")
-    return fields, edges
-
-
-def _garbled_mark(line: str) -> bool:
-    """A character that only a misreading puts there; not the signs of wrongly decoded text."""
-    return any(m[0] not in "£$§·¬\xad@^~•" or m[0] in "£$@" and re.search(rf"[^\W\d_]\{m[0]}[^\W\d_]|\b\{m[0]}[^\W\d_]" if m[0] == "@" else rf"(?<=[ -~])[A-Za-z]\{m[0]}[A-Za-z]", line) for m in _ODD.finditer(line)) and not re.search("[ÃÂÐÑâ├┬╨╤√≈Γ‚]", line)
-
-
-def _digit_word(line: str) -> bool:
-    return any(not _NUMBER_WORD.match(m[0]) and not (len(m[0]) <= 3 and m[0][-1:].isupper()) for m in _DIGIT_WORD.finditer(line)) or bool(re.search(r"(?<![\w-])\d[a-z]{2,}(?!\w)", line) and not re.search(r"(?<![\w-])\d+(?:st|nd|rd|th|am|pm)\b", line))
-
-
-def repaired(heading: str | None, lines: list[str | None], slug: str | None, headers: set[str], vocabulary: Vocabulary) -> tuple[str | None, list[str]]:
-    """(clean heading, continuous paragraphs) of one scene; headers are signatures of the movie's running headers."""
+def repaired(heading: str | None, lines: list[str | None], slug: str | None, headers: list[str], vocabulary: Vocabulary, numbered: bool = True) -> tuple[str | None, list[str]]:
+    """(clean heading, continuous paragraphs) of one scene; headers are the letters of the movie's running headers."""
     clean = heading
     if heading and heading.strip():
         clean = _HEADING_PAGE.sub("", _TAIL.sub("", heading.strip()))
@@ -251,10 +221,10 @@ def repaired(heading: str | None, lines: list[str | None], slug: str | None, hea
         clean = vocabulary.repair(clean)
     kept = []
     for line in lines:
-        if not line or not line.strip() or page_mark(line):
+        if not line or not line.strip() or page_mark(line, numbered):
             continue
         letters = edge_line(line)
-        if letters and (like_slug(letters, slug) or headers & set(signatures(letters))):
+        if letters and (like_slug(letters, slug) or any(same_header(letters, h) for h in headers)):
             continue
         kept.append(_joined(line.strip(), vocabulary))
     paragraphs: list[str] = []
@@ -297,66 +267,81 @@ def vocabulary(scenes: DataFrame, most: int = MOST_WORDS, least: int = LEAST_COU
     return found
 
 
-def noisy_fields(scenes: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
-    """(scene_id, field_name) of each heading and list of action lines with noise of scanning.
+def changed(before: list[str | None], after: list[str | None]) -> bool:
+    """Whether texts differ in more than spacing and where their lines end."""
+    flat = lambda texts: " ".join(" ".join(t for t in texts if t).split())
+    return flat(before) != flat(after)
 
-    Null scenes give no row; null or blank headings, arrays and lines have no
-    noise; repeated scenes count once. Only scene_id, slug, heading and
-    action_lines are read. Lines that may be running headers are counted for each
-    movie over all its scenes, by both ends of their letters.
-    """
-    spark = scenes.sparkSession
-    rows = scenes.where("scene_id is not null").select("scene_id", "slug", "heading", "action_lines")
-    shared = spark.sparkContext.broadcast(vocabulary(rows, most_words))
-
-    def scan(batches):
-        words = Vocabulary(shared.value)
-        for batch in batches:
-            out = []
-            for scene, slug, heading, lines in zip(batch["scene_id"], batch["slug"], batch["heading"], batch["action_lines"]):
-                fields, edges = evidence(heading, [] if lines is None else list(lines), slug, words)
-                out += [(scene, slug, f, None) for f in fields]
-                out += [(scene, slug, "action_lines", s) for e in edges for s in signatures(e)]
-            yield pd.DataFrame(out, columns=["scene_id", "slug", "field_name", "signature"])
 
-    seen = runtime.cut(rows.mapInPandas(scan, "scene_id string, slug string, field_name string, signature string").distinct())
-    certain = seen.where("signature is null").select("scene_id", "field_name")
-    edges = seen.where("signature is not null and slug is not null")
-    headers = edges.groupBy("slug", "signature").agg(F.count("*").alias("n")).where(F.col("n") >= REPEATS).select("slug", "signature")
-    running = edges.join(headers, ["slug", "signature"], "left_semi").select("scene_id", "field_name")
-    return certain.unionByName(running).distinct()
+_CAPITALS = "length(regexp_replace(line, '[^\\\\p{Ll}]', '')) <= 0.25 * length(regexp_replace(line, '[^\\\\p{L}]', ''))"
 
 
-def repaired_scenes(scenes: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
-    """(scene_id, heading, paragraphs) of every scene, cleaned of noise of scanning.
+def edges(scenes: DataFrame) -> DataFrame:
+    """(slug, headers, numbered): the letters of each movie's running headers, and whether its bare numbers are page numbers.
 
-    A scene without noise keeps its heading and its lines, blank and null lines
-    left out. Null arrays give no paragraphs, null headings stay null, repeated
-    scenes count once. The running headers of a movie are joined to its scenes by
-    slug; they are a few for each movie.
+    Only lines that stand out are looked at: in capitals, with a number or draft
+    mark at an end. Lines meet under both ends of their letters; those of one
+    meeting count together, and the commonest of them is the header.
     """
-    spark = scenes.sparkSession
-    rows = scenes.where("scene_id is not null").select("scene_id", "slug", "heading", "action_lines").distinct()
-    shared = spark.sparkContext.broadcast(vocabulary(rows, most_words))
+    lines = scenes.where("slug is not null").select("slug", "scene_id", "scene_number", F.explode("action_lines").alias("line")).where("line is not null")
+    marked = F.col("line").rlike(_TAIL.pattern) | F.col("line").rlike(_HEAD.pattern) | F.col("line").rlike(_PAGE.pattern) | F.expr(_CAPITALS)
 
-    def edges(batches):
+    def looked_at(batches):
         for batch in batches:
             out = []
-            for scene, slug, lines in zip(batch["scene_id"], batch["slug"], batch["action_lines"]):
-                for line in [] if lines is None else lines:
-                    if line and not page_mark(line):
-                        out += [(scene, slug, s) for s in signatures(edge_line(line))]
-            yield pd.DataFrame(out, columns=["scene_id", "slug", "signature"])
+            for slug, scene, place, line in zip(batch["slug"], batch["scene_id"], batch["scene_number"], batch["line"]):
+                number = bare_number(line)
+                if number is not None:
+                    out.append((slug, scene, "", "", None if pd.isna(place) else float(place), float(number)))
+                elif not page_mark(line) and (letters := edge_line(line)):
+                    out += [(slug, scene, s, letters, None, None) for s in signatures(letters)]
+            yield pd.DataFrame(out, columns=["slug", "scene_id", "signature", "letters", "place", "number"])
+
+    found = lines.where(marked).mapInPandas(looked_at, "slug string, scene_id string, signature string, letters string, place double, number double").distinct()
+    counted = found.groupBy("slug", "signature", "letters").agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("place", "number"), F.stddev_pop("place") * F.stddev_pop("number")).alias("rising"))
+    meetings = counted.groupBy("slug", "signature").agg(F.sum("n").alias("n"), F.max_by("letters", F.struct("n", "letters")).alias("letters"), F.max("rising").alias("rising"))
+    header = F.when((F.col("signature") != "") & (F.col("n") >= REPEATS), F.col("letters"))
+    # Few or unrelated numbers: two are no sequence, and numbers of scenes without a place have no correlation.
+    scattered = (F.col("signature") == "") & (F.col("n") >= 3) & (F.col("rising") < RISING)
+    movies = meetings.groupBy("slug").agg(F.sort_array(F.collect_set(header)).alias("headers"), (~F.max(scattered)).alias("numbered"))
+    return movies.where("size(headers) > 0 or not numbered")
+
+
+def mended(scenes: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
+    """(scene_id, heading, paragraphs, noisy) of every scene, cleaned of noise of scanning; noisy are the fields that had some.
 
-    found = rows.where("slug is not null").mapInPandas(edges, "scene_id string, slug string, signature string").distinct()
-    headers = found.groupBy("slug", "signature").agg(F.count("*").alias("n")).where(F.col("n") >= REPEATS).groupBy("slug").agg(F.collect_set("signature").alias("headers"))
+    A scene without noise keeps its heading and its lines, blank and null lines
+    left out. Null scenes give no row; null or blank headings, arrays and lines have
+    no noise and null headings stay null; repeated scenes give repeated rows. Only
+    scene_id, slug, scene_number (if there is one), heading and action_lines are read.
+    """
+    spark = scenes.sparkSession
+    place = F.col("scene_number") if "scene_number" in scenes.columns else F.lit(None).cast("int")
+    rows = scenes.where("scene_id is not null").select("scene_id", "slug", place.alias("scene_number"), "heading", "action_lines")
+    shared = spark.sparkContext.broadcast(vocabulary(rows, most_words))
+    movies = runtime.cut(edges(rows))
+    few = movies.limit(FEW_HEADERS + 1).count() <= FEW_HEADERS
 
     def mend(batches):
         words = Vocabulary(shared.value)
         for batch in batches:
             out = []
-            for scene, slug, heading, lines, own in zip(batch["scene_id"], batch["slug"], batch["heading"], batch["action_lines"], batch["headers"]):
-                out.append((scene, *repaired(heading, [] if lines is None else list(lines), slug, set() if own is None else set(own), words)))
-            yield pd.DataFrame(out, columns=["scene_id", "heading", "paragraphs"])
+            for scene, slug, heading, lines, headers, numbered in zip(*(batch[c] for c in ("scene_id", "slug", "heading", "action_lines", "headers", "numbered"))):
+                lines = [] if lines is None else list(lines)
+                clean, paragraphs = repaired(heading, lines, slug, [] if headers is None else list(headers), words, numbered is None or pd.isna(numbered) or bool(numbered))
+                noisy = [f for f, before, after in (("heading", [heading], [clean]), ("action_lines", lines, paragraphs)) if changed(before, after)]
+                out.append((scene, clean, paragraphs, noisy))
+            yield pd.DataFrame(out, columns=["scene_id", "heading", "paragraphs", "noisy"])
+
+    known = rows.join(F.broadcast(movies) if few else movies, "slug", "left")
+    return known.select("scene_id", "slug", "heading", "action_lines", "headers", "numbered").mapInPandas(mend, "scene_id string, heading string, paragraphs array<string>, noisy array<string>")
 
-    return rows.join(headers, "slug", "left").select("scene_id", "slug", "heading", "action_lines", "headers").mapInPandas(mend, "scene_id string, heading string, paragraphs array<string>")
+
+def noisy_fields(scenes: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
+    """(scene_id, field_name) of each heading and list of action lines that the repair changes; cases as mended()."""
+    return mended(scenes, most_words).select("scene_id", F.explode("noisy").alias("field_name")).distinct()
+
+
+def repaired_scenes(scenes: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
+    """(scene_id, heading, paragraphs) of every scene, cleaned of noise of scanning; repeated scenes count once; cases as mended()."""
+    return mended(scenes, most_words).select("scene_id", "heading", "paragraphs").distinct()

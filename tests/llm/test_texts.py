@@ -102,6 +102,33 @@ def test_headers_count_scenes_with_other_noise(spark):
     assert all(r.paragraphs == ["The lantern hangs."] for r in scans.repaired_scenes(df).collect())
 
 
+def test_numbers_that_do_not_rise_are_no_page_numbers(spark):
+    schema = "scene_id string, slug string, scene_number int, heading string, action_lines array<string>"
+    rows = [(f"a_{i}", "a", i, "INT. HARBOR - DAY", ["The lantern hangs.", str(10 + i)]) for i in range(5)] + [(f"b_{i}", "b", i, "INT. HARBOR - DAY", ["The lantern hangs.", str(n)]) for i, n in enumerate((9, 2, 7, 1, 4))]
+    assert sorted(r.scene_id for r in scans.noisy_fields(spark.createDataFrame(rows, schema)).collect()) == [f"a_{i}" for i in range(5)]
+
+
+def test_a_header_is_found_by_edit_distance():
+    assert scans.same_header("quietgardenofstones", "qulotgardenofstanes") and scans.same_header("quietgard", "quietgardenofstones") and not scans.same_header("closeontheledger", "quietgardenofstones")
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_noise_is_what_the_repair_changes(spark):
+    rows = spark.read.parquet(f"{SF}/scenes.parquet")
+    before = {r.scene_id: r for r in rows.collect()}
+    flat = lambda xs: " ".join(" ".join(x for x in xs if x).split())
+    differ = set()
+    for r in scans.repaired_scenes(rows).collect():
+        if flat([r.heading]) != flat([before[r.scene_id].heading]):
+            differ.add((r.scene_id, "heading"))
+        if flat(r.paragraphs) != flat(before[r.scene_id].action_lines or []):
+            differ.add((r.scene_id, "action_lines"))
+    assert differ and differ == {tuple(r) for r in scans.noisy_fields(rows).collect()}
+
+
 def test_a_vocabulary_over_its_bound_is_an_error(spark):
     df = spark.createDataFrame([(f"v_{i}", "v", "INT. HARBOR", ["lantern opens"]) for i in range(5)], "scene_id string, slug string, heading string, action_lines array<string>")
     assert scans.vocabulary(df, most=4) == {"int": 5, "harbor": 5, "lantern": 5, "opens": 5}
