@@ -77,12 +77,16 @@ def match_rates(characters: DataFrame) -> DataFrame:
     return rows.rollup("slug").agg(F.count("*").alias("n"), F.sum(hit).alias("matched"), F.round(F.avg(hit) * 100, 2).alias("rate"))
 
 
-def match_checks(characters: DataFrame) -> DataFrame:
-    """Movies with a low rate of matched characters, with the most frequent unmatched ones."""
+def match_checks(characters: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+    """Movies with a low rate of matched characters, with the most frequent unmatched ones; with a manifest also its movies without characters."""
     rows = characters.dropDuplicates(["char_id"])
     lost = F.when(F.col("match_type") == "unmatched", F.struct((-F.col("scene_count")).alias("n"), F.col("screenplay_name").alias("name")))
     per = rows.groupBy("slug").agg(F.count("*").alias("n"), F.avg((F.col("match_type") != "unmatched").cast("int")).alias("rate"), F.transform(F.slice(F.array_sort(F.collect_list(lost)), 1, 5), lambda x: x["name"]).alias("lost"))
-    return _issue(per, "match_rate", F.when(F.col("n") > CHARACTERS, "WARNING").otherwise("INFO"), F.array_join("lost", ", "), (F.col("rate") < MATCH_RATE))
+    low = _issue(per, "match_rate", F.when(F.col("n") > CHARACTERS, "WARNING").otherwise("INFO"), F.array_join("lost", ", "), (F.col("rate") < MATCH_RATE))
+    if manifest is None:
+        return low
+    bare = manifest.select("slug").where("slug is not null").distinct().join(characters.select("slug").distinct(), "slug", "left_anti")
+    return low.unionByName(_issue(bare, "no_characters", "WARNING", F.lit("0 characters")))
 
 
 def duplicates(manifest: DataFrame) -> DataFrame:
@@ -101,7 +105,7 @@ def missing_outputs(manifest: DataFrame, outputs: dict[str, DataFrame]) -> DataF
 
 def audit(manifest: DataFrame, metadata: DataFrame, scenes: DataFrame, characters: DataFrame, ambiguous: list[str] = ()) -> DataFrame:
     """All checks."""
-    parts = [missing_metadata(manifest, metadata), title_and_year(manifest, metadata), scene_checks(manifest, scenes), completeness(manifest, metadata), match_checks(characters), duplicates(manifest)]
+    parts = [missing_metadata(manifest, metadata), title_and_year(manifest, metadata), scene_checks(manifest, scenes), completeness(manifest, metadata), match_checks(characters, manifest), duplicates(manifest)]
     if ambiguous:
         parts.append(ambiguous_titles(manifest, list(ambiguous)))
     return reduce(DataFrame.unionByName, parts)

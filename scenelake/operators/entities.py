@@ -88,3 +88,9 @@ def match_cast(names: DataFrame, roles: DataFrame) -> DataFrame:
     return names.join(best, ["slug", "movie_id", "screenplay_name"], "left").select(
         "slug", "movie_id", "screenplay_name", "tmdb_character", "actor", kind.alias("match_type"), "scene_count", F.coalesce("tmdb_order", F.lit(-1)).alias("tmdb_order")
     )
+
+
+def by_scenes(characters: DataFrame, key: str = "screenplay_name") -> DataFrame:
+    """Characters with their place in their movie: most scenes first, ties by key."""
+    w = Window.partitionBy("slug").orderBy(F.desc_nulls_last("scene_count"), key)
+    return characters.withColumn("place", F.row_number().over(w))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenelake.functions import text as X
 
 SCENE_INDICES = ("scene", "dialogue", "character", "full")
 INDICES = (*SCENE_INDICES, "plot")
+BUCKETS = 64  # folders of terms in a stored index; a query reads those of its terms
 
 
 def scene_documents(scenes: DataFrame) -> DataFrame:
@@ -68,6 +69,47 @@ def lengths(docs: DataFrame, key: list[str], group: list[str], text: str = "text
     return t.groupBy(*group).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
 
+def bucket(term="term"):
+    """The folder of a stored index in which a term's postings lie."""
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_sparse(docs: DataFrame, path: str, mode: str = "overwrite", unicode: bool = False) -> None:
+    """Store the sparse index of (index, doc_key, text): postings and document frequencies by index and bucket of terms, lengths, and the sizes of each index.
+
+    Appending adds the postings and lengths of the new documents; frequencies and
+    sizes are then counted anew from what is stored, without the texts. Null texts
+    are empty documents. A bucket with a very frequent term is split over files.
+    """
+    spark = docs.sparkSession
+    rows = docs.select("index", "doc_key", F.coalesce("text", F.lit("")).alias("text"))
+    words = tokenised(rows, ["index", "doc_key"], "text", unicode)
+    words.select("index", "doc_key", F.size("tokens").alias("dl")).write.mode(mode).parquet(f"{path}/lengths")
+    fresh = postings(rows, ["index", "doc_key"], "text", unicode).withColumn("bucket", bucket())
+    fresh.hint("rebalance", "index", "bucket").write.mode(mode).partitionBy("index", "bucket").parquet(f"{path}/postings")
+    held = spark.read.parquet(f"{path}/postings")
+    frequencies = held.groupBy("index", "bucket", "term").agg(F.count("*").alias("df"))
+    frequencies.hint("rebalance", "index", "bucket").write.mode("overwrite").partitionBy("index", "bucket").parquet(f"{path}/terms")
+    sizes = spark.read.parquet(f"{path}/lengths").groupBy("index").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    idf = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    means = spark.read.parquet(f"{path}/terms").join(F.broadcast(sizes), "index").groupBy("index").agg(F.avg(idf).alias("mean_idf"))  # a row for each index
+    sizes.join(means, "index", "left").coalesce(1).write.mode("overwrite").parquet(f"{path}/sizes")
+
+
+class SparseIndex:
+    """A stored sparse index: postings (index, bucket, term, doc_key, tf, dl), terms (index, bucket, term, df), sizes (index, n_docs, avg_dl, mean_idf)."""
+
+    def __init__(self, spark: SparkSession, path: str, unicode: bool = False):
+        self.unicode = unicode
+        self.postings, self.terms, self.sizes = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "sizes"))
+
+
+def hashed_vector(spark: SparkSession, text: str, width: int = 384) -> list[float]:
+    """The vector of one text as hashed_vectors() makes it; zeros for a text without words."""
+    row = hashed_vectors(spark.createDataFrame([(0, text)], "doc_key int, text string"), ["doc_key"], width=width).first()
+    return list(row["vec"]) if row else [0.0] * width
+
+
 def hashed_vectors(docs: DataFrame, key: list[str], text: str = "text", width: int = 384) -> DataFrame:
     """(key..., vec): tokens hashed to `width` places with sign, length 1. Stands in where no embedding model is given."""
     t = postings(docs, key, text)

@@ -29,18 +29,24 @@ def apply_order(ranked: DataFrame, order: DataFrame, within: list[str], key: str
     return placed.withColumn("new_rank", F.row_number().over(w)).drop("rank", "pos").withColumnRenamed("new_rank", "rank")
 
 
-def list_wise(ranked: DataFrame, judge: Callable[[list[dict]], list] | None, top_k: int, key: str = "movie_id") -> DataFrame:
-    """The top_k rows as the judge orders them; as they are without one, or where it fails."""
+def list_wise(ranked: DataFrame, judge: Callable[[str, list[dict]], list] | None, top_k: int, query: str = "", registry: DataFrame | None = None, docs: DataFrame | None = None, key: str = "movie_id") -> DataFrame:
+    """The top_k rows as the judge orders them; as they are without one, or where it fails.
+
+    The judge gets the query and the rows in order, and with registry and docs
+    also title, year and the texts of the best scenes; it gives ids back.
+    """
     spark = ranked.sparkSession
+    best = ranked.where(F.col("rank") <= top_k)
     if judge is None:
-        return ranked.where(F.col("rank") <= top_k)
-    rows = [r.asDict(recursive=True) for r in ranked.where(F.col("rank") <= top_k).orderBy("rank").collect()]
+        return best
+    shown = best if registry is None or docs is None else best.join(candidates(best, registry, docs), key, "left")
+    rows = [r.asDict(recursive=True) for r in shown.orderBy("rank").collect()]
     try:
-        told = [str(x) for x in judge(rows)]
+        told = [str(x) for x in judge(query, rows)]
     except Exception:  # a judge is an outside service; its failure leaves the order
         told = []
-    order = spark.createDataFrame([(told,)], "ranked_ids array<string>")
-    return apply_order(ranked.where(F.col("rank") <= top_k).withColumn("_q", F.lit(0)), order.withColumn("_q", F.lit(0)), ["_q"], key).drop("_q")
+    order = spark.createDataFrame([(0, told)], "_q int, ranked_ids array<string>")
+    return apply_order(best.withColumn("_q", F.lit(0)), order, ["_q"], key).drop("_q")
 
 
 def pair_wise(items: list, better: Callable[[object, object], bool | None], key: Callable = id) -> list:

@@ -21,6 +21,8 @@ SCENES_A_MOVIE = 3
 POOL, FILTERED_POOL = 2, 8
 #: Queries and filters are sent to all executors up to this many rows; larger tables are joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Query vectors that are sent to all executors at once.
+QUERY_BLOCK = 2_000
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -58,6 +60,25 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_key", text:
     return scored.groupBy("query_id", "doc_key").agg(F.sum(F.col("w") * F.col("qtf")).alias("score")).withColumnRenamed("doc_key", key)
 
 
+def stored_scores(stored: I.SparseIndex, queries: DataFrame, key: str = "doc_key", k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
+    """bm25_scores() from a stored index for queries (query_id, index, query_text); only the folders of the queries' terms are read.
+
+    One lookup serves any number of queries on any of the indices. Which folders
+    those are is asked once, at most BUCKETS times the indices.
+    """
+    tokens = X.tokens_unicode if stored.unicode else X.tokens_ascii
+    asked = queries.select("query_id", "index", F.explode(tokens("query_text")).alias("term")).groupBy("query_id", "index", "term").agg(F.count("*").alias("qtf")).withColumn("bucket", I.bucket())
+    places = [(r["index"], r["bucket"]) for r in asked.select("index", "bucket").distinct().collect()]
+    read = F.col("index").isin(sorted({i for i, _ in places})) & F.col("bucket").isin(sorted({n for _, n in places}))
+    raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    idf = F.when(raw < 0, epsilon * F.col("mean_idf")).otherwise(raw)
+    weighed = stored.terms.where(read).join(small(asked), ["index", "bucket", "term"]).join(F.broadcast(stored.sizes), "index")  # a row for each index
+    weighed = weighed.select("query_id", "index", "bucket", "term", (F.col("qtf") * idf).alias("w"), "avg_dl")
+    weight = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
+    found = stored.postings.where(read).join(small(weighed), ["index", "bucket", "term"])
+    return found.groupBy("query_id", "doc_key").agg(F.sum(weight).alias("score")).withColumnRenamed("doc_key", key)
+
+
 def top(scored: DataFrame, k: int, within: list[str], key: str = "doc_key", digits: int = 6, score: str = "score") -> DataFrame:
     """The k best rows of each list with their rank from 1; score rounded, ties by key."""
     w = Window.partitionBy(*within).orderBy(F.desc("score"), F.asc(key))
@@ -70,8 +91,8 @@ def with_zero_scores(scored: DataFrame, docs: DataFrame, queries: DataFrame, k:
     At most k of the first documents can be wanted by any list, so only k + (number
     of matches within them) candidates are added, not all documents to all queries.
     """
-    first = docs.select(key).orderBy(key).limit(2 * k)
-    pool = first.crossJoin(F.broadcast(queries.select(query_id))).withColumn("score", F.lit(0.0))
+    first = docs.select(key).orderBy(key).limit(2 * k)  # sent to all executors, the queries are not
+    pool = queries.select(query_id).crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))
     fresh = pool.join(scored.select(query_id, key), [query_id, key], "left_anti")
     return scored.select(query_id, key, "score").unionByName(fresh.select(query_id, key, "score"))
 
@@ -85,11 +106,18 @@ def until_zero(ranked: DataFrame, within: list[str]) -> DataFrame:
 def dense_scores(vectors: DataFrame, queries: DataFrame, key: str = "doc_key", vector: str = "vec", query_id: str = "query_id", query_vector: str = "query_vec") -> DataFrame:
     """(query_id, key, score): inner product of every query vector with every vector, both brought to length 1.
 
-    A stated set of queries against all rows: the queries are sent to all executors, in blocks if they are many.
+    A stated set of queries against all rows: the queries are counted and sent to
+    all executors in blocks of QUERY_BLOCK, each a pass over the vectors.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), I.unit(query_vector).alias("q")).where("q is not null")
     stored = spread(vectors.select(key, vector)).select(F.col(key).alias("doc_key"), I.unit(vector).alias("v")).where("v is not null")
-    return stored.crossJoin(F.broadcast(asked)).select("query_id", F.col("doc_key").alias(key), I.dot(F.col("v"), F.col("q")).alias("score"))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    found = None
+    for n in range(blocks):
+        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
+        one = stored.crossJoin(F.broadcast(block)).select("query_id", F.col("doc_key").alias(key), I.dot(F.col("v"), F.col("q")).alias("score"))
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 def similarity(score) -> Column:
@@ -183,22 +211,33 @@ def title_matches(registry: DataFrame, titles: DataFrame, title: str = "title")
 class Retriever:
     """Searches the five indices by plan: pairs of text and index, sparse and dense lists, fusion, movies."""
 
-    def __init__(self, docs: DataFrame, registry: DataFrame, vectors: DataFrame | None = None, embed=None, people: DataFrame | None = None):
-        self.docs, self.registry, self.vectors, self.embed, self.people = docs, registry, vectors, embed, people
+    def __init__(self, docs: DataFrame, registry: DataFrame, vectors: DataFrame | None = None, embed=None, people: DataFrame | None = None, sparse: I.SparseIndex | None = None):
+        self.docs, self.registry, self.vectors, self.embed, self.people, self.sparse = docs, registry, vectors, embed, people, sparse
 
-    def _list(self, no: int, text: str, index: str, dense: bool, pool: int, allowed: DataFrame | None) -> DataFrame:
-        spark = self.docs.sparkSession
-        docs = self.docs.where(F.col("index") == index)
-        if dense:
-            vectors = self.vectors.where(F.col("index") == index)
-            query = spark.createDataFrame([(0, [float(x) for x in self.embed(text)])], "query_id int, query_vec array<double>")
-            scored = dense_scores(vectors, query)
+    def _sparse(self, asked: list[tuple[int, str, str]], pool: int) -> DataFrame:
+        """(query_id, index, doc_key, score) of the asked (number, text, index): one lookup in the stored index, else a search of the texts of each index."""
+        queries = self.docs.sparkSession.createDataFrame(asked, "query_id int, query_text string, index string")
+        if self.sparse is not None:
+            scored = stored_scores(self.sparse, queries)
         else:
-            query = spark.createDataFrame([(0, text)], "query_id int, query_text string")
-            scored = with_zero_scores(bm25_scores(docs, query), docs, query, pool)
-        ranked = top(scored, pool, ["query_id"]).join(docs.select("doc_key", "movie_id"), "doc_key")
-        kept = keep_allowed(ranked, allowed, ["query_id"])
-        return kept.select(F.lit(0).alias("query_id"), F.lit(no).alias("list_no"), "doc_key", "movie_id", "score", "rank")
+            scored = None
+            for index in sorted({i for _, _, i in asked}):
+                one = bm25_scores(self.docs.where(F.col("index") == index), queries.where(F.col("index") == index))
+                scored = one if scored is None else scored.unionByName(one)
+        filled = None
+        for index in sorted({i for _, _, i in asked}):
+            own = queries.where(F.col("index") == index)
+            one = with_zero_scores(scored.join(F.broadcast(own.select("query_id")), "query_id"), self.docs.where(F.col("index") == index), own, pool).withColumn("index", F.lit(index))  # a row for each list
+            filled = one if filled is None else filled.unionByName(one)
+        return filled
+
+    def _dense(self, asked: list[tuple[int, str, str]]) -> DataFrame:
+        spark, found = self.docs.sparkSession, None
+        for index in sorted({i for _, _, i in asked}):
+            queries = spark.createDataFrame([(n, [float(x) for x in self.embed(t)]) for n, t, i in asked if i == index], "query_id int, query_vec array<double>")
+            one = dense_scores(self.vectors.where(F.col("index") == index), queries).withColumn("index", F.lit(index))
+            found = one if found is None else found.unionByName(one)
+        return found
 
     def retrieve(self, plan, query: str, mode: str = "hybrid", top_k: int = 10) -> DataFrame:
         """(movie_id, score, top_scenes, rank) for a validated plan; filters and entities that leave nothing open up again."""
@@ -215,16 +254,21 @@ class Retriever:
         pairs = [(s["text"], s["intent"]) for s in plan.sub_queries] if plan.sub_queries else [(text, i) for i in plan.intents]
         pool = top_k * (FILTERED_POOL if plan.genre or plan.year_min or plan.year_max else POOL)
         kinds = [d for d in (True, False) if mode == "hybrid" or (mode == "faiss") == d]
-        if self.vectors is None or self.embed is None:
-            kinds = [False]
+        if True in kinds and (self.vectors is None or self.embed is None):
+            raise ValueError(f"mode {mode} needs vectors and an embedder")
+        # Lists are numbered pair by pair, dense before sparse; all of one kind are looked up together.
+        numbered = [(n * len(kinds) + k, words, index, dense) for n, (words, index) in enumerate(pairs) for k, dense in enumerate(kinds)]
+        scored = None
+        for dense in kinds:
+            asked = [(no, words, index) for no, words, index, d in numbered if d == dense]
+            one = self._dense(asked) if dense else self._sparse(asked, pool)
+            one = one.select("query_id", "index", "doc_key", "score")
+            scored = one if scored is None else scored.unionByName(one)
+        movie_of = self.docs.select("index", "doc_key", "movie_id")
+        ranked = cut(top(scored, pool, ["query_id"]).join(movie_of, ["index", "doc_key"]).select(F.col("query_id").alias("list_no"), "doc_key", "movie_id", "score", "rank"))
 
         def run(limit: DataFrame | None) -> DataFrame:
-            lists, no = None, 0
-            for words, index in pairs:
-                for dense in kinds:
-                    one = self._list(no, words, index, dense, pool, limit)
-                    lists = one if lists is None else lists.unionByName(one)
-                    no += 1
+            lists = keep_allowed(ranked, limit, ["list_no"]).withColumn("query_id", F.lit(0))
             fused = fused_order(rrf(lists, ["query_id"], payload=("movie_id",)), ["query_id"])
             return by_movie(fused, ["query_id"], top_k * len(pairs))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,6 +83,24 @@ def cases(spark: SparkSession, sf: str, first: bool = False) -> DataFrame:
     return rows.orderBy("query_id").limit(1) if first else rows
 
 
+_STORES: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf: str, name: str, rows: DataFrame, unicode: bool = False) -> I.SparseIndex:
+    """The sparse index over rows (doc_key, text), stored at its first use in an application as a build stores it."""
+    at = (spark.sparkContext.applicationId, sf, name)
+    if at not in _STORES:
+        path = f"{shared_dir(spark)}/sparse-{uuid.uuid4().hex}"
+        I.write_sparse(rows.withColumn("index", F.lit(name)), path, unicode=unicode)
+        _STORES[at] = path
+    return I.SparseIndex(spark, _STORES[at], unicode)
+
+
+def bm25(spark: SparkSession, sf: str, asked: DataFrame) -> DataFrame:
+    """Scores of the documents for the asked (query_id, query_text) by the stored index."""
+    return S.stored_scores(stored(spark, sf, "documents", docs(spark, sf)), asked.withColumn("index", F.lit("documents")))
+
+
 # --- text -------------------------------------------------------------------------------------------------------
 
 
@@ -248,12 +268,12 @@ def index_documents(spark, sf):
 
 @query(f"WITH {bm25_sql(DOCS, FIRST_CASE)} SELECT * FROM ({TOP}) WHERE rank <= 20")
 def bm25_topk(spark, sf):
-    return S.top(S.bm25_scores(docs(spark, sf), cases(spark, sf, True)), 20, ["query_id"])
+    return S.top(bm25(spark, sf, cases(spark, sf, True)), 20, ["query_id"])
 
 
 @query(f"WITH {bm25_sql(DOCS, CASES)} SELECT * FROM ({TOP}) WHERE rank <= 10")
 def bm25_batch_topk(spark, sf):
-    return S.top(S.bm25_scores(docs(spark, sf), cases(spark, sf)), 10, ["query_id"])
+    return S.top(bm25(spark, sf, cases(spark, sf)), 10, ["query_id"])
 
 
 @query(f"""WITH {bm25_sql(DOCS, "SELECT 0 AS query_id, 'zzzyx quorn lighthouse' AS query_text")},
@@ -262,7 +282,7 @@ def bm25_batch_topk(spark, sf):
 def bm25_zero_pool(spark, sf):
     asked = spark.createDataFrame([(0, "zzzyx quorn lighthouse")], "query_id int, query_text string")
     rows = docs(spark, sf)
-    return S.top(S.with_zero_scores(S.bm25_scores(rows, asked), rows, asked, 20), 20, ["query_id"])
+    return S.top(S.with_zero_scores(bm25(spark, sf, asked), rows, asked, 20), 20, ["query_id"])
 
 
 @query(f"""WITH {bm25_sql(f"SELECT scene_id AS doc_key, text FROM (SELECT scene_id, {DIALOGUE_TEXT} AS text FROM {SCENES}) WHERE text <> ''", CASES, UNICODE)}, ranked AS (SELECT * FROM ({TOP}) WHERE rank <= 10)
@@ -305,7 +325,7 @@ def l2_normalise(spark, sf):
 
 @query()
 def hashed_vectors(spark, sf):
-    return I.hashed_vectors(docs(spark, sf).where("text is not null"), ["doc_key"], width=64)
+    return I.hashed_vectors(docs(spark, sf).where("text is not null"), ["doc_key"])
 
 
 # --- fusion and aggregation -------------------------------------------------------------------------------------
@@ -319,8 +339,8 @@ TWO_LISTS = f"""
 
 
 def _two_lists(spark, sf) -> DataFrame:
-    rows, asked = docs(spark, sf), cases(spark, sf)
-    scored = S.bm25_scores(rows, asked)
+    rows = docs(spark, sf)
+    scored = bm25(spark, sf, cases(spark, sf))
     a = S.top(scored, 20, ["query_id"]).withColumn("list_no", F.lit(0))
     long = rows.select("doc_key", F.length("text").alias("size")).orderBy(F.desc_nulls_last("size"), "doc_key").limit(20)
     w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("size"), "doc_key")
@@ -346,7 +366,7 @@ def movie_aggregate(spark, sf):
 @query(f"""WITH {bm25_sql(DOCS, CASES)}, pool AS (SELECT * FROM ({TOP}) WHERE rank <= 40)
     SELECT query_id, doc_key, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM pool WHERE doc_key IN (SELECT doc_id FROM documents WHERE kind = 'review')""")
 def pool_filter_compaction(spark, sf):
-    ranked = S.top(S.bm25_scores(docs(spark, sf), cases(spark, sf)), 40, ["query_id"]).withColumn("movie_id", F.col("doc_key"))
+    ranked = S.top(bm25(spark, sf, cases(spark, sf)), 40, ["query_id"]).withColumn("movie_id", F.col("doc_key"))
     allowed = read(spark, sf, "documents").where("kind = 'review'").select(F.col("doc_id").alias("movie_id"))
     return S.keep_allowed(ranked, allowed, ["query_id"]).select("query_id", "doc_key", "score", "rank")
 
@@ -546,13 +566,12 @@ def html_text(spark, sf):
     return L.extract(rows)
 
 
-@query("""WITH f AS (SELECT DISTINCT filename FROM manifest), old AS (SELECT filename FROM f WHERE filename < 'm'), fresh AS (SELECT filename FROM f WHERE filename >= 'm')
-    SELECT filename, filename NOT IN (SELECT filename FROM old) AS added FROM f""")
+@query("SELECT filename, min(tmdb_id) AS tmdb_id, min(title) AS title, min(slug) AS slug FROM manifest GROUP BY filename")
 def manifest_merge(spark, sf):
+    """Files that the manifest holds leave it as it is."""
     rows = read(spark, sf, "manifest")
-    old = rows.where("filename < 'm'").groupBy("filename").agg(F.first("tmdb_id").alias("tmdb_id"), F.first("title").alias("title"), F.first("slug").alias("slug"))
-    merged = L.merged_manifest(old, rows)
-    return merged.join(old.select("filename", F.lit(True).alias("was")), "filename", "left").select("filename", F.col("was").isNull().alias("added"))
+    old = rows.groupBy("filename").agg(F.min("tmdb_id").alias("tmdb_id"), F.min("title").alias("title"), F.min("slug").alias("slug"))
+    return L.merged_manifest(old, rows)
 
 
 @query("SELECT tmdb_id, max(fetched_at) AS fetched_at, max(wiki_plot IS NOT NULL) AS has_plot FROM metadata WHERE tmdb_id IS NOT NULL GROUP BY tmdb_id")
@@ -563,14 +582,44 @@ def metadata_upsert(spark, sf):
     return L.upsert_metadata(oldest, newest.select("tmdb_id", "fetched_at", "wiki_plot")).select("tmdb_id", "fetched_at", F.col("wiki_plot").isNotNull().alias("has_plot"))
 
 
-@query("SELECT slug, scene_number, heading FROM (SELECT DISTINCT slug, dense_rank() OVER (PARTITION BY slug ORDER BY scene_number) AS scene_number, trim(heading, ' ') AS heading FROM (SELECT slug, scene_number, any_value(heading) AS heading FROM " + SCENES + r" WHERE scene_number IS NOT NULL AND regexp_matches(heading, '^(INT|EXT)[./][^\n\r]*$') GROUP BY slug, scene_number))")
+_TIMES = "DAY|NIGHT|MORNING|EVENING|AFTERNOON|DAWN|DUSK|SUNSET|SUNRISE|NOON|MIDNIGHT|LATER|MOMENTS LATER|CONTINUOUS|SAME|SAME TIME|EARLY MORNING|LATE NIGHT"
+
+
+def _heading_sql(rows: str, keep: str) -> str:
+    """keep, int_ext, location and time_of_day over rows with a heading."""
+    return f"""SELECT {keep}, CASE WHEN regexp_matches(t, '^(?i:EXT)') THEN 'EXT' ELSE 'INT' END AS int_ext, CASE WHEN timed THEN array_to_string(parts[1:len(parts) - 1], ' - ') ELSE rest END AS location, CASE WHEN timed THEN upper(parts[-1]) ELSE 'UNSPECIFIED' END AS time_of_day
+        FROM (SELECT *, len(parts) > 1 AND regexp_matches(parts[-1], '^(?i:{_TIMES})$') AS timed FROM (SELECT *, regexp_split_to_array(rest, '\\s+[-–]\\s+') AS parts FROM (SELECT *, trim(heading, ' ') AS t, trim(regexp_replace(trim(heading, ' '), '^(?i:INT\\.?/EXT\\.?|EXT\\.?/INT\\.?|INT\\.?|EXT\\.?|I/E\\.?)\\s*', ''), ' ') AS rest FROM ({rows}))))"""
+
+
+@query(_heading_sql("SELECT DISTINCT heading FROM scenes WHERE heading IS NOT NULL", "heading"))
+def heading_parts(spark, sf):
+    return read(spark, sf, "scenes").where("heading is not null").select("heading").distinct().select("heading", X.heading_parts("heading").alias("p")).select("heading", "p.*")
+
+
+_SPEAKER = r"""SELECT line, base <> '' AND NOT regexp_matches(trim(line, ' '), '^\s*(?i:INT\.?(?:/EXT\.?)?|EXT\.?|I/E)\b') AND regexp_matches(base, '^[A-Z][A-Z0-9#\s''./-]*$') AND len(regexp_split_to_array(base, '\s+')) <= 4 AND NOT list_has_any(regexp_split_to_array(base, '\s+'), [%s]) AS speaker
+    FROM (SELECT line, trim(regexp_replace(trim(line, ' '), '\s*\(.*?\)\s*$', ''), ' ') AS base FROM (SELECT DISTINCT screenplay_name AS line FROM characters WHERE screenplay_name IS NOT NULL UNION SELECT heading FROM scenes WHERE heading IS NOT NULL))""" % ", ".join(f"'{w}'" for w in X.SHOT_WORDS)
+
+
+@query(_SPEAKER)
+def speaker_lines(spark, sf):
+    names = read(spark, sf, "characters").select(F.col("screenplay_name").alias("line")).unionByName(read(spark, sf, "scenes").select(F.col("heading").alias("line")))
+    return names.where("line is not null").distinct().select("line", X.is_speaker("line").alias("speaker"))
+
+
+@query("""SELECT doc_id, count(*) AS kept, sum(line_no)::BIGINT AS places FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, solid ORDER BY line_no) - (solid > 0)::INT AS nth FROM (SELECT *, sum((line <> '')::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS solid FROM (SELECT doc_id, line_no, rtrim(line, ' ') AS line FROM """ + LINE_SQL + """))) WHERE line <> '' OR nth <= 2 GROUP BY doc_id""")
+def blank_runs(spark, sf):
+    rows = _doc_lines(spark, sf).select("doc_id", "line_no", F.rtrim("line").alias("line"))
+    return Y.without_blank_runs(rows, "doc_id").groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum("line_no").alias("places"))
+
+
+@query(_heading_sql("SELECT slug, scene_number, heading FROM (SELECT DISTINCT slug, dense_rank() OVER (PARTITION BY slug ORDER BY scene_number) AS scene_number, trim(heading, ' ') AS heading FROM (SELECT slug, scene_number, any_value(heading) AS heading FROM " + SCENES + r" WHERE scene_number IS NOT NULL AND regexp_matches(heading, '^(INT|EXT)[./][^\n\r]*$') GROUP BY slug, scene_number))", "slug, scene_number, heading"))
 def parse_scenes(spark, sf):
     """Scenes written out as a screenplay and parsed again."""
     rows = _scenes(spark, sf).where(r"scene_number is not null and heading rlike '^(INT|EXT)[./][^\\n\\r]*$'").dropDuplicates(["slug", "scene_number"])
     spoken = F.transform(F.filter("dialogue", lambda d: (F.coalesce(d["character"], F.lit("")) != "") & (F.coalesce(d["line"], F.lit("")) != "")), lambda d: F.concat(F.repeat(F.lit(" "), F.lit(25)), F.upper(d["character"]), F.lit("\n" + " " * 10), F.regexp_replace(d["line"], r"\s+", " "), F.lit("\n")))
     body = F.concat_ws("\n", F.concat("heading", F.lit("\n")), F.array_join(F.transform(X.non_empty("action_lines"), lambda x: F.concat(F.lit("~ "), F.regexp_replace(x, r"\s+", " "), F.lit("\n"))), "\n"), F.array_join(spoken, "\n"))
     text = rows.groupBy("slug").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("scene_number", body.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
-    return Y.scenes(Y.lines(text)).select("slug", F.col("scene_number").cast("bigint").alias("scene_number"), "heading")
+    return Y.scenes(Y.lines(text)).select("slug", F.col("scene_number").cast("bigint").alias("scene_number"), "heading", "int_ext", "location", "time_of_day")
 
 
 @query()
@@ -598,22 +647,37 @@ def plan_validate(spark, sf):
 @query(f"""WITH {bm25_sql(DOCS, CASES)}, r AS (SELECT * FROM ({TOP}) WHERE rank <= 10), told AS (SELECT query_id, doc_key, row_number() OVER (PARTITION BY query_id ORDER BY doc_key) AS pos FROM r WHERE rank % 2 = 1)
     SELECT query_id, doc_key, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(pos, 1000), r.rank) AS rank FROM r LEFT JOIN told USING (query_id, doc_key)""")
 def rerank_listwise(spark, sf):
-    ranked = S.top(S.bm25_scores(docs(spark, sf), cases(spark, sf)), 10, ["query_id"])
+    ranked = S.top(bm25(spark, sf, cases(spark, sf)), 10, ["query_id"])
     odd = ranked.where("rank % 2 = 1").groupBy("query_id").agg(F.sort_array(F.collect_list("doc_key")).alias("ids"))
     told = odd.select("query_id", F.concat("ids", F.slice("ids", 1, 2), F.array(F.lit(-5).cast("bigint"))).alias("ranked_ids"))
     return K.apply_order(ranked, told, ["query_id"], key="doc_key").select("query_id", "doc_key", "rank")
 
 
-@query(f"""WITH {bm25_sql("SELECT title_id AS doc_key, title AS text FROM title_ref", "SELECT item_id AS query_id, ground_truth[1] AS query_text FROM heldout_cases")}, r AS (SELECT * FROM ({TOP}) WHERE rank <= 5),
+_EVAL = f"""WITH {bm25_sql("SELECT title_id AS doc_key, title AS text FROM title_ref", "SELECT item_id AS query_id, ground_truth[1] AS query_text FROM heldout_cases")}, r AS (SELECT * FROM ({TOP}) WHERE rank <= 5),
     j AS (SELECT r.query_id, r.rank, (len(list_filter(c.ground_truth, lambda g: contains(lower(t.title), lower(g)))) > 0)::INT AS hit FROM r JOIN title_ref t ON t.title_id = r.doc_key JOIN heldout_cases c ON c.item_id = r.query_id WHERE c.ground_truth IS NOT NULL),
-    s AS (SELECT query_id, coalesce(max(CASE WHEN hit = 1 THEN 1.0 / rank END), 0) AS rr, max(hit) AS hit, avg(hit) AS p, sum(hit / log2(rank + 1)) AS g FROM j GROUP BY query_id)
-    SELECT item_id AS query_id, round(coalesce(rr, 0), 4) AS rr, coalesce(hit, 0)::DOUBLE AS hit, round(coalesce(p, 0), 4) AS precision, round(coalesce(g, 0), 4) AS ndcg_ref FROM heldout_cases LEFT JOIN s ON s.query_id = item_id""")
+    s AS (SELECT query_id, coalesce(max(CASE WHEN hit = 1 THEN 1.0 / rank END), 0) AS rr, max(hit) AS hit, avg(hit) AS p, sum(hit / log2(rank + 1)) AS g FROM j GROUP BY query_id)"""
+
+
+@query(_EVAL + """
+    SELECT item_id AS query_id, round(coalesce(rr, 0), 4) AS rr, coalesce(hit, 0)::DOUBLE AS hit, round(coalesce(p, 0), 4) AS precision, round(coalesce(g, 0), 4) AS ndcg_ref, coalesce(hit, 0)::DOUBLE AS recall FROM heldout_cases LEFT JOIN s ON s.query_id = item_id""")
 def eval_metrics(spark, sf):
+    scores = _evaluated(spark, sf)
+    return scores.select("query_id", F.round("rr", 4).alias("rr"), "hit", F.round("precision", 4).alias("precision"), F.round("ndcg_ref", 4).alias("ndcg_ref"), "recall")
+
+
+@query(_EVAL + """
+    SELECT count(*) AS queries, round(avg(coalesce(rr, 0)), 4) AS rr, round(avg(coalesce(hit, 0)), 4) AS hit, round(avg(coalesce(p, 0)), 4) AS precision, round(avg(coalesce(g, 0)), 4) AS ndcg_ref, round(avg(coalesce(hit, 0)), 4) AS recall,
+    round(avg(CASE WHEN expected_intent IS NOT NULL THEN (expected_intent = 'plot')::INT END), 4) AS intent_accuracy FROM heldout_cases LEFT JOIN s ON s.query_id = item_id""")
+def eval_means(spark, sf):
+    """Means over all cases; the intent taken for every query is 'plot'."""
+    return M.means(_evaluated(spark, sf)).select("queries", "rr", "hit", "precision", "ndcg_ref", "recall", "intent_accuracy")
+
+
+def _evaluated(spark, sf) -> DataFrame:
     ref = read(spark, sf, "title_ref").select(F.col("title_id").alias("doc_key"), F.col("title").alias("text"))
-    held = read(spark, sf, "heldout_cases").select(F.col("item_id").alias("query_id"), "ground_truth", "expected_intent", F.try_element_at("ground_truth", F.lit(1)).alias("query_text"))
+    held = read(spark, sf, "heldout_cases").select(F.col("item_id").alias("query_id"), "ground_truth", "expected_intent", F.try_element_at("ground_truth", F.lit(1)).alias("query_text"), F.lit("plot").alias("intent"))
     ranked = S.top(S.bm25_scores(ref, held), 5, ["query_id"]).join(ref.select("doc_key", F.col("text").alias("title")), "doc_key")
-    scores = M.per_query(ranked, held)
-    return scores.select("query_id", F.round("rr", 4).alias("rr"), "hit", F.round("precision", 4).alias("precision"), F.round("ndcg_ref", 4).alias("ndcg_ref"))
+    return M.per_query(ranked, held)
 
 
 # --- audit ------------------------------------------------------------------------------------------------------
@@ -658,6 +722,46 @@ def audit_titles(spark, sf):
     return issues.select(F.split("slug", "\t")[0].alias("slug"), F.split("slug", "\t")[1].alias("filename"), "severity")
 
 
+@query(f"""SELECT f.slug, f.filename FROM (SELECT DISTINCT filename, slug, tmdb_id, title, nullif(regexp_extract(filename, '(?:^|[^0-9])((?:19|20)[0-9]{{2}})(?:$|[^0-9])', 1), '')::INT AS y FROM manifest) f JOIN {LATEST_METADATA} m USING (tmdb_id)
+    WHERE regexp_full_match(left(coalesce(release_date, ''), 4), '[0-9]{{4}}') AND abs(y - left(release_date, 4)::INT) > 1""")
+def audit_years(spark, sf):
+    rows = read(spark, sf, "manifest").select("filename", "slug", "tmdb_id", "title").distinct()
+    issues = A.title_and_year(rows.withColumn("slug", F.concat_ws("\t", "slug", "filename")), read(spark, sf, "metadata")).where(F.col("check") == "year_mismatch")
+    return issues.select(F.split("slug", "\t")[0].alias("slug"), F.split("slug", "\t")[1].alias("filename"))
+
+
+@query("SELECT DISTINCT 'ambiguous_title' AS \"check\", 'INFO' AS severity, slug, title AS message FROM manifest WHERE lower(title) IN (SELECT lower(title) FROM title_ref)")
+def audit_ambiguous(spark, sf):
+    titles = [r["title"] for r in read(spark, sf, "title_ref").select("title").collect()]  # the fixed list of titles
+    return A.ambiguous_titles(read(spark, sf, "manifest"), titles)
+
+
+@query("""WITH c AS (SELECT char_id, any_value(slug) AS slug, any_value(match_type) AS match_type, any_value(screenplay_name) AS name, any_value(scene_count) AS n FROM characters GROUP BY char_id),
+    p AS (SELECT slug, count(*) AS n, avg((match_type <> 'unmatched')::INT) AS rate, list(name ORDER BY n DESC NULLS LAST, name) FILTER (match_type = 'unmatched') AS lost FROM c GROUP BY slug)
+    SELECT 'match_rate' AS "check", CASE WHEN n > 5 THEN 'WARNING' ELSE 'INFO' END AS severity, slug, coalesce(array_to_string(lost[1:5], ', '), '') AS message FROM p WHERE rate < 0.4
+    UNION ALL SELECT DISTINCT 'no_characters', 'WARNING', slug, '0 characters' FROM manifest WHERE slug IS NOT NULL AND slug NOT IN (SELECT slug FROM characters WHERE slug IS NOT NULL)""")
+def audit_matches(spark, sf):
+    return A.match_checks(read(spark, sf, "characters"), read(spark, sf, "manifest"))
+
+
+@query("SELECT 'x' AS \"check\", 'x' AS severity, 'x' AS slug, 'x' AS message WHERE false")
+def audit_empty(spark, sf):
+    """No tables, no issues."""
+    none = lambda t: read(spark, sf, t).limit(0)
+    return A.audit(none("manifest"), none("metadata"), none("scenes"), none("characters"), ["x"])
+
+
+@query(f"SELECT tmdb_id AS movie_id, title, row_number() OVER (ORDER BY title NULLS FIRST, tmdb_id) AS place FROM {LATEST_METADATA}")
+def movies_by_title(spark, sf):
+    # A list for people to look at: the whole of it is ordered.
+    return _registry(spark, sf).select("movie_id", "title", F.row_number().over(Window.orderBy("title", "movie_id")).alias("place"))
+
+
+@query("SELECT char_id, slug, screenplay_name, row_number() OVER (PARTITION BY slug ORDER BY scene_count DESC NULLS LAST, char_id) AS place FROM (SELECT char_id, any_value(slug) AS slug, any_value(screenplay_name) AS screenplay_name, any_value(scene_count) AS scene_count FROM characters GROUP BY char_id)")
+def characters_by_scenes(spark, sf):
+    return N.by_scenes(read(spark, sf, "characters").dropDuplicates(["char_id"]), "char_id").select("char_id", "slug", "screenplay_name", "place")
+
+
 @query("SELECT DISTINCT slug FROM manifest WHERE slug NOT IN (SELECT slug FROM scenes WHERE slug IS NOT NULL)")
 def audit_missing_outputs(spark, sf):
     return A.missing_outputs(read(spark, sf, "manifest"), {"scenes": read(spark, sf, "scenes")}).select("slug")
@@ -715,8 +819,17 @@ def video_query(spark, sf):
 
 def _retriever(spark, sf) -> S.Retriever:
     scenes, metadata = read(spark, sf, "scenes"), read(spark, sf, "metadata")
-    # As a build stores them: each list would make the documents anew.
-    return S.Retriever(cut(I.index_documents(scenes, metadata)), cut(_registry(spark, sf)), people=cut(N.people(metadata)))
+    # As a build stores them, once for an application.
+    at = (spark.sparkContext.applicationId, sf, "build")
+    if at not in _STORES:
+        path = f"{shared_dir(spark)}/build-{uuid.uuid4().hex}"
+        I.index_documents(scenes, metadata).write.partitionBy("index").parquet(f"{path}/documents")
+        _registry(spark, sf).write.parquet(f"{path}/registry")
+        N.people(metadata).write.parquet(f"{path}/people")
+        I.write_sparse(spark.read.parquet(f"{path}/documents"), f"{path}/sparse")
+        _STORES[at] = path
+    table = lambda n: spark.read.parquet(f"{_STORES[at]}/{n}")
+    return S.Retriever(table("documents"), table("registry"), people=table("people"), sparse=I.SparseIndex(spark, f"{_STORES[at]}/sparse"))
 
 
 _PLOT = f"SELECT tmdb_id AS doc_key, trim(coalesce(nullif(wiki_plot, ''), overview), ' ') AS text FROM {LATEST_METADATA} WHERE trim(coalesce(nullif(wiki_plot, ''), overview), ' ') <> ''"
@@ -735,18 +848,29 @@ def retrieve_filtered(spark, sf):
 @query()
 def retrieve_hybrid(spark, sf):
     retriever = _retriever(spark, sf)
-    retriever.vectors = cut(I.hashed_vectors(retriever.docs, ["index", "doc_key"], width=64))
+    retriever.vectors = cut(I.hashed_vectors(retriever.docs, ["index", "doc_key"]))
     text = "a widow drops the brass compass under the lamp"
 
-    def embed(words: str) -> list[float]:
-        one = spark.createDataFrame([("q", words)], "doc_key string, text string")
-        return I.hashed_vectors(one, ["doc_key"], width=64).first()["vec"]
-
-    retriever.embed = embed
+    retriever.embed = lambda words: I.hashed_vector(spark, words)
     return retriever.retrieve(P.QueryPlan("complex_scene", ["scene"]), text, top_k=10)
 
 
-@query()
+def _list_sql(no: int, docs: str, movie: str, text: str, pool: int) -> str:
+    """One list of retrieve(): filled up with documents of score 0 in order of their key."""
+    return f"""SELECT {no} AS list_no, doc_key, {movie} AS movie_id, rank FROM (WITH {bm25_sql(docs, f"SELECT 0 AS query_id, '{text}' AS query_text")},
+        filled AS (SELECT doc_key, coalesce(score, 0.0) AS score FROM docs LEFT JOIN scored USING (doc_key)) SELECT doc_key, row_number() OVER (ORDER BY score DESC, doc_key) AS rank FROM filled) l {'JOIN (SELECT scene_id AS doc_key, movie_id FROM ' + SCENES + ') USING (doc_key)' if movie == 'movie_id' else ''} WHERE rank <= {pool}"""
+
+
+_SPOKEN_DOCS = f"SELECT scene_id AS doc_key, text FROM (SELECT scene_id, {DIALOGUE_TEXT} AS text FROM {SCENES}) WHERE trim(text, ' ') <> ''"
+
+
+@query(f"""WITH lists AS ({_list_sql(0, _PLOT, 'doc_key', 'a letter in the harbor', 20)} UNION ALL {_list_sql(1, _SPOKEN_DOCS, 'movie_id', 'put the kettle down', 20)}),
+    fused AS (SELECT doc_key, max(movie_id) AS movie_id, sum(1.0 / (60 + rank)) AS rrf_score, min((list_no, rank)) AS seen FROM lists GROUP BY doc_key),
+    hits AS (SELECT *, row_number() OVER (ORDER BY round(rrf_score, 10) DESC, seen, doc_key) AS rank FROM fused),
+    m AS (SELECT movie_id, sum(rrf_score) AS total, min(rank) AS first_hit, list(doc_key ORDER BY rank)[1:3] AS top_scenes FROM hits WHERE rank <= 20 GROUP BY movie_id),
+    outs AS (SELECT tmdb_id FROM {LATEST_METADATA} WHERE contains(lower(trim(title, ' ')), 'the ninth lighthouse') OR contains('the ninth lighthouse', lower(trim(title, ' ')))),
+    kept AS (SELECT *, count(*) FILTER (movie_id IS NULL OR movie_id NOT IN (SELECT tmdb_id FROM outs)) OVER () AS n_left FROM m)
+    SELECT movie_id, round(total, 4) AS score, top_scenes, row_number() OVER (ORDER BY round(total, 10) DESC, first_hit) AS rank FROM kept WHERE n_left = 0 OR movie_id IS NULL OR movie_id NOT IN (SELECT tmdb_id FROM outs) QUALIFY rank <= 10""")
 def retrieve_multi_aspect(spark, sf):
     plan = P.QueryPlan.validated({"query_type": "multi_aspect", "sub_queries": [{"intent": "plot", "text": "a letter in the harbor"}, {"intent": "dialogue", "text": "put the kettle down"}], "exclude_titles": ["The Ninth Lighthouse"]})
     return _retriever(spark, sf).retrieve(plan, "a letter in the harbor and someone says put the kettle down", mode="bm25", top_k=10)
@@ -767,11 +891,9 @@ def incremental_append(spark, sf):
     return G.append_documents(old, every).groupBy("index").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_incremental_ingest(spark, sf):
     """Events taken in by file, once, into the shared folder."""
-    import uuid
-
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = spark.read.parquet(f"{sf}/events.parquet")
     source.write.parquet(f"{at}/in")

@@ -43,8 +43,11 @@ class Service:
     def reload(self) -> None:
         table = lambda n: self.spark.read.parquet(f"{self.store}/{n}")
         self.registry, self.docs, self.people = table("registry"), table("documents"), table("people")
-        vectors = table("vectors") if self.embed else None
-        self.retriever = search.Retriever(self.docs, self.registry, vectors, self.embed, self.people)
+        vectors = table("vectors")
+        width = len((vectors.select("vec").first() or {"vec": []})["vec"])
+        # The build stores hashed vectors, so queries are hashed alike where no embedder is given.
+        embed = self.embed or (lambda text: index.hashed_vector(self.spark, text, width))
+        self.retriever = search.Retriever(self.docs, self.registry, vectors, embed, self.people, index.SparseIndex(self.spark, f"{self.store}/sparse"))
 
     def status(self) -> dict:
         return {"status": "ok", "movies": self.registry.count(), "full_index": not self.docs.where(F.col("index") == "full").isEmpty()}
@@ -55,7 +58,7 @@ class Service:
     def search(self, query: str, plan: QueryPlan, mode: str = "hybrid", top_k: int = 5) -> DataFrame:
         """(rank, movie_id, title, score, scene_ids) by an explicit plan, reordered by the judge with the original query."""
         text = checked(query, top_k, mode)
-        found = rerank.list_wise(self.retriever.retrieve(plan, text, mode, top_k), self.judge, top_k)
+        found = rerank.list_wise(self.retriever.retrieve(plan, text, mode, top_k), self.judge, top_k, text, self.registry, self.docs)
         return registry.titled(found, self.registry).select("rank", "movie_id", "title", "score", F.col("top_scenes").alias("scene_ids")).orderBy("rank")
 
     def query(self, query: str, mode: str = "hybrid", top_k: int = 5, intents: str | None = None) -> DataFrame:
@@ -77,8 +80,8 @@ class Service:
 def build(spark: SparkSession, source: str, store: str, steps: tuple[str, ...] = STEPS, incremental: bool = False, dry_run: bool = False, pdf: Callable | None = None, embed_width: int = 384) -> dict[str, int]:
     """Run the steps of a build in order and give the rows each wrote; metadata is read from {store}/metadata.
 
-    An incremental build parses and indexes only what the tables lack; the
-    statistics of sparse search are made when a query runs, so nothing has to be fitted again.
+    An incremental build parses and indexes only what the tables lack; the sparse
+    index takes in the new documents and counts its statistics anew.
     """
     for s in steps:
         if s not in STEPS:
@@ -130,6 +133,8 @@ def build(spark: SparkSession, source: str, store: str, steps: tuple[str, ...] =
         docs = runtime.cut(docs)
         mode = "append" if incremental else "overwrite"
         put(docs, "documents", mode, "index")
+        if not dry_run:
+            index.write_sparse(docs, f"{store}/sparse", mode)
         put(index.hashed_vectors(docs, ["index", "doc_key"], width=embed_width), "vectors", mode, "index")
         put(registry.registry(table("manifest"), table("metadata"), table("scenes")), "registry")
         put(entities.people(table("metadata")), "people")

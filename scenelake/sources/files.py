@@ -132,13 +132,16 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def new_manifest_rows(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Rows for the files that the manifest lacks: id '0', title and slug from the name; a slug in use gets _2, _3 and so on."""
+    """Rows for the files that the manifest lacks: id '0', title and slug from the name; a slug in use gets the first free of _2, _3 and so on."""
     fresh = files.select("filename").distinct().join(manifest.select("filename"), "filename", "left_anti").select("filename", X.file_title("filename").alias("title"), X.file_slug("filename").alias("base"))
-    used = manifest.select(F.regexp_replace("slug", r"_\d+$", "").alias("base"), F.coalesce(F.expr("try_cast(nullif(regexp_extract(slug, '_([0-9]+)$', 1), '') as int)"), F.lit(1)).alias("n"))
-    exact = manifest.select(F.col("slug").alias("base"), F.lit(1).alias("n"))
-    taken = used.unionByName(exact).groupBy("base").agg(F.max("n").alias("taken"))
+    tail = F.expr("try_cast(nullif(regexp_extract(slug, '_([0-9]+)$', 1), '') as int)")
+    used = manifest.select("slug").where("slug is not null").distinct()
+    numbers = used.select(F.col("slug").alias("base"), F.lit(1).alias("n")).unionByName(used.select(F.regexp_replace("slug", r"_\d+$", "").alias("base"), tail.alias("n")).where("n > 1"))
+    taken = numbers.groupBy("base").agg(F.collect_set("n").alias("taken"))
     w = Window.partitionBy("base").orderBy("filename")
-    rows = fresh.join(taken, "base", "left").withColumn("n", F.row_number().over(w) + F.coalesce("taken", F.lit(0)))
+    rows = fresh.join(taken, "base", "left").withColumn("k", F.row_number().over(w)).withColumn("taken", F.coalesce("taken", F.array().cast("array<int>")))
+    free = F.array_except(F.sequence(F.lit(1), F.col("k") + F.size("taken")), F.col("taken"))
+    rows = rows.withColumn("n", F.element_at(free, F.col("k")))
     return rows.select("filename", F.lit("0").alias("tmdb_id"), "title", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("n").cast("string"))).alias("slug"))
 
 

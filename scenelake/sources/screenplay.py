@@ -11,6 +11,7 @@ from scenelake.functions import text as X
 ACTION, DIALOGUE, PARENTHETICAL, CHARACTER = 0, 10, 15, 25
 NAME_INDENT, SPEECH_INDENT = 20, 10
 REPEATS, SHARE = 10, 0.02
+INGEST_COLUMNS = (0, 12, 15, 25, 45)  # fixed
 
 
 def lines(texts: DataFrame, key: str = "slug", text: str = "text") -> DataFrame:
@@ -35,21 +36,39 @@ def cleaned(rows: DataFrame, profile: str = "convert") -> DataFrame:
     rows = rows.join(repeated, ["slug", "base"], "left")
     keep = (F.trim("line") == "") | ~(X.is_page_number("line") | X.is_continued("line", profile) | F.coalesce("header", F.lit(False)))
     rows = rows.where(keep).select("slug", "line_no", X.strip_scene_number("line", profile).alias("line"))
-    rows = remapped(rows)
-    rows = rows.withColumn("line", F.rtrim("line"))
-    w = Window.partitionBy("slug").orderBy("line_no")
+    rows = remapped(rows, profile)
+    return without_blank_runs(rows.withColumn("line", F.rtrim("line")), "slug")
+
+
+def without_blank_runs(rows: DataFrame, key: str) -> DataFrame:
+    """(key, line_no, line) with at most two blank lines running."""
+    w = Window.partitionBy(key).orderBy("line_no")
     run = rows.withColumn("solid", F.sum((F.col("line") != "").cast("int")).over(w))
-    blank = Window.partitionBy("slug", "solid").orderBy("line_no")
+    blank = Window.partitionBy(key, "solid").orderBy("line_no")
     numbered = run.withColumn("nth", F.row_number().over(blank) - F.when(F.col("solid") > 0, 1).otherwise(0))
-    return numbered.where((F.col("line") != "") | (F.col("nth") <= 2)).select("slug", "line_no", "line")
+    return numbered.where((F.col("line") != "") | (F.col("nth") <= 2)).select(key, "line_no", "line")
 
 
-def remapped(rows: DataFrame) -> DataFrame:
-    """Lines moved to the canonical columns where a text's names stand further right than those; other indents go the way of the nearest significant one."""
+def remapped(rows: DataFrame, profile: str = "convert") -> DataFrame:
+    """Lines moved to the canonical columns; other indents go the way of the nearest significant one.
+
+    The convert profile moves a text whose names stand further right than the
+    canonical column: the rightmost level to names, those in the right half to
+    speech. The ingest profile moves a text whose second level from the right is at
+    20 or more: its levels from the left become INGEST_COLUMNS.
+    """
     rows = rows.withColumn("indent", F.when(F.trim("line") == "", 0).otherwise(_indent()))
     counts = rows.where("indent > 0").groupBy("slug", "indent").agg(F.count("*").alias("n"))
     total = counts.groupBy("slug").agg(F.sum("n").alias("total"))
     levels = counts.join(total, "slug").where(F.col("n") >= SHARE * F.col("total")).groupBy("slug").agg(F.sort_array(F.collect_list("indent")).alias("levels"))
+    if profile == "ingest":
+        levels = levels.where((F.size("levels") >= 2) & (F.try_element_at("levels", F.lit(-2)) >= NAME_INDENT))
+        joined = rows.join(levels, "slug", "left")
+        gaps = F.transform("levels", lambda v, i: F.struct(F.abs(v - F.col("indent")).alias("d"), i.alias("i")))
+        columns = F.array(*map(F.lit, INGEST_COLUMNS))
+        to = F.element_at(columns, (F.least(F.array_min(gaps)["i"], F.lit(len(INGEST_COLUMNS) - 1)) + 1).cast("int"))
+        moved = F.concat(F.repeat(F.lit(" "), to), F.ltrim("line"))
+        return joined.select("slug", "line_no", F.when(F.col("levels").isNotNull() & (F.col("indent") > 0), moved).otherwise(F.col("line")).alias("line"))
     levels = levels.where((F.size("levels") >= 2) & (F.element_at("levels", -1) > CHARACTER))
     joined = rows.join(levels, "slug", "left")
     nearest = F.array_min(F.transform("levels", lambda v: F.struct(F.abs(v - F.col("indent")).alias("d"), v.alias("v"))))["v"]

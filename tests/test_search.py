@@ -107,8 +107,8 @@ def test_cast_matching_prefers_exact(spark):
 
 def test_listwise_and_pairwise(spark):
     ranked = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "movie_id string, rank int")
-    assert [r.movie_id for r in K.list_wise(ranked, lambda rows: ["c", "z", "c"], 3).orderBy("rank").collect()] == ["c", "a", "b"]
-    assert [r.movie_id for r in K.list_wise(ranked, lambda rows: 1 / 0, 2).orderBy("rank").collect()] == ["a", "b"]
+    assert [r.movie_id for r in K.list_wise(ranked, lambda query, rows: ["c", "z", "c"], 3).orderBy("rank").collect()] == ["c", "a", "b"]
+    assert [r.movie_id for r in K.list_wise(ranked, lambda query, rows: 1 / 0, 2).orderBy("rank").collect()] == ["a", "b"]
     assert K.pair_wise([3, 1, 2], lambda a, b: a < b, key=lambda x: x) == [1, 2, 3]
     assert K.pair_wise([3, 1, 2], lambda a, b: True, key=lambda x: x) == [3, 1, 2]
 
