@@ -37,6 +37,7 @@ FEW_HEADERS = 100_000  # rows of headers that are sent to all executors; more ar
 # Fixed: what scanners read for what stood there.
 MISREAD = tuple(p.split(">") for p in "@>a 0>o c>e †>t 1>l 1>i !>i !>l li>h ri>n 9>g cl>d ii>u vv>w rn>m £>e 5>s l>i l>t 4>a nn>m lv>n 6>g 6>b m>rn d>cl ﬂ>fl ﬁ>fi 8>b 3>e $>s |>l ¦>i n>ri u>ii h>li i>l e>c".split())
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_TOKEN = re.compile(r"[\w†@|¦£$!ﬁﬂ]*[^\W\d_][\w†@|¦£$ﬁﬂ]*(?:!(?=\w)[\w†@|¦£$ﬁﬂ]+)*(?:['’-][\w†@]+)*")
 _JAVA_WORD = r"(?U)\p{L}+(?:['’-]\p{L}+)*"
 _CUT = re.compile(r"(?<=[^\W\d_])[-¬\xad‐]\s*[\r\n]\s*(?=[^\W\d_])|(?<=[^\W\d_])- (?=[^\W\d_])")
 _CUT_END = re.compile(r"(?<=[^\W\d_])[-¬\xad‐]\s*$")
@@ -54,9 +55,13 @@ def plain_letters(text: str) -> str:
     return re.sub(r"[\W\d_]+", "", text.lower().translate(_LETTERS))
 
 
-@lru_cache(maxsize=50_000)
+_MANY_LETTERS = re.compile(r"(?:[^\W\d_][\W\d_]*){16}")
+
+
 def is_continued(line: str) -> bool:
-    """CONTINUED in any of its forms, with page or part numbers, however misread."""
+    """CONTINUED in any of its forms, with page or part numbers, however misread; no form has 16 letters."""
+    if _MANY_LETTERS.search(line):
+        return False
     word = plain_letters(re.sub(r"\(\s*[\dlO]+\s*\)|(?:^|\s)\d+\.?(?=\s|$)", " ", line))
     if word in ("continued", "contd", "cont", "more"):
         return not re.fullmatch(r"(?i)more\W*", line.strip()) or line.strip().startswith("(")
@@ -76,9 +81,13 @@ def page_mark(line: str, numbered: bool = True) -> bool:
 def edge_line(line: str) -> str:
     """The letters of a line that may be a running header, or ''."""
     tail = _TAIL.search(line)
+    head = _HEAD.match(line)
+    marked = tail is not None or head is not None
+    # Too few capitals, whatever else stands there: most lines end here.
+    if not marked and sum(map(str.islower, line)) > 0.2 * len(line):
+        return ""
     body = _TAIL.sub("", _HEAD.sub("", line))
     letters = [c for c in body if c.isalpha()]
-    marked = tail is not None or _HEAD.match(line) is not None
     if len(letters) < 6 or not marked and sum(c.isupper() for c in letters) < 0.8 * len(letters):
         return ""
     return plain_letters(body.replace("...", ""))
@@ -153,6 +162,7 @@ class Vocabulary:
     def __init__(self, counts: dict[str, int]):
         self.counts = counts
         self.known: dict[str, str] = {}
+        self.fine: set[str] = set()  # words in lower case that are no misreadings
         self.shaped: dict[str, int] = {}
         for word, n in counts.items():
             if n >= 20:
@@ -193,13 +203,20 @@ class Vocabulary:
         def word(m: re.Match) -> str:
             w = m[0]
             low = w.lower()
+            if low in self.fine:
+                return w
             fixed = self.certain(w, _named(text, m))
             if fixed == low:
+                if len(self.fine) > 300_000:
+                    self.fine.clear()
+                if self.original(low) == low:
+                    self.fine.add(low)
                 return w
             return fixed.upper() if sum(c.isupper() for c in w) > 1 else fixed[:1].upper() + fixed[1:] if w[:1].isupper() else fixed
 
         text = _STRAY.sub("", text)
-        text = re.sub(r"[\w†@|¦£$!ﬁﬂ]*[^\W\d_][\w†@|¦£$ﬁﬂ]*(?:!(?=\w)[\w†@|¦£$ﬁﬂ]+)*(?:['’-][\w†@]+)*", word, text)
+        if not self.fine.issuperset(_TOKEN.findall(text.lower())):
+            text = _TOKEN.sub(word, text)
         return re.sub(r"[ \t]{2,}", " ", text).strip()
 
     def join(self, left: str, right: str) -> str:
