@@ -155,6 +155,14 @@ def is_speaker(line) -> Column:
     return (base != "") & ~is_heading(text) & base.rlike(r"^[A-Z][A-Z0-9#\s'./-]*$") & (F.size(words) <= 4) & ~F.arrays_overlap(words, F.array(*map(F.lit, SHOT_WORDS)))
 
 
+def strip_dual_column(line) -> Column:
+    """A line without the right column that a translation note stands in; '' if only a speaker's name is left. Lines without such a note stay."""
+    # Fixed: how the note begins.
+    note = r"(?i)\s{4,}\((?:CHAKOBSA|PHONETIC|[A-Z]+ TRANSLATION)[^)]*\).*$"
+    left = F.trim(F.split(F.regexp_replace(_col(line), note, ""), r"\s{8,}", 2)[0])
+    return F.when(~_col(line).rlike(note), _col(line)).when(is_speaker(left), "").otherwise(left)
+
+
 def heading_parts(heading) -> Column:
     """Struct (int_ext, location, time_of_day) of a scene heading; time is UNSPECIFIED without a known word at the end."""
     text = F.trim(_col(heading))
@@ -242,11 +250,15 @@ def audit_title(title) -> Column:
     return F.regexp_replace(F.lower(_col(title)), "[^a-z0-9 ]", "")
 
 
-def wikitext_plain(text, nesting: int = 6) -> Column:
-    """Wiki markup as plain text: references, templates up to `nesting` deep, files, links, quotes, headers and tags go."""
+def wikitext_plain(text) -> Column:
+    """Wiki markup as plain text: references, templates however deep, files, links, quotes, headers and tags go."""
     out = F.regexp_replace(_col(text), r"(?s)<ref[^>/]*/>|<ref[^>]*>.*?</ref>", "")
-    for _ in range(nesting):
-        out = F.regexp_replace(out, r"\{\{[^{}]*\}\}", "")
+    inner = r"\{\{[^{}]*\}\}"
+    for _ in range(4):
+        out = F.regexp_replace(out, inner, "")
+    # What is nested deeper takes as many more passes as there are openings left at most.
+    left = F.regexp_count(out, F.lit(r"\{\{"))
+    out = F.when(out.rlike(inner), F.aggregate(F.sequence(F.lit(1), F.greatest(left, F.lit(1))), out, lambda held, _: F.regexp_replace(held, inner, ""))).otherwise(out)
     for pattern, to in (
         (r"(?i)\[\[(?:File|Image):[^\]]*\]\]", ""), (r"\[\[(?:[^|\]]*\|)?([^\]]+)\]\]", "$1"), (r"\[https?://\S+\s*([^\]]*)\]", "$1"),
         (r"'{2,}", ""), (r"(?m)^=+\s*(.*?)\s*=+\s*$", "$1"), (r"<[^>]+>", ""), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"),
@@ -299,3 +311,10 @@ def route_field(query) -> Column:
 def known_field(field, fields) -> Column:
     """The field, or action if it is none of `fields`."""
     return F.when(_col(field).isin(*fields, "dialogue"), _col(field)).otherwise("action")
+
+
+def sanitised_fields(primary, secondary, fields) -> Column:
+    """Struct (primary, secondary): a field that is none of `fields` is action; secondary ones are known, once each, and not the primary."""
+    first = known_field(primary, fields)
+    others = F.filter(F.array_distinct(F.coalesce(_col(secondary), F.array().cast("array<string>"))), lambda f: f.isin(*fields, "dialogue") & (f != first))
+    return F.struct(first.alias("primary"), others.alias("secondary"))

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scenelake.functions import text as X
 from scenelake.operators.index import latest_metadata
@@ -103,6 +104,22 @@ def missing_outputs(manifest: DataFrame, outputs: dict[str, DataFrame]) -> DataF
     return reduce(DataFrame.unionByName, [_issue(slugs.join(t.select("slug").distinct(), "slug", "left_anti"), "missing_output", "CRITICAL", F.lit(name)) for name, t in outputs.items()])
 
 
+def middle_scenes(scenes: DataFrame) -> DataFrame:
+    """(slug, scene_id, heading, first_action) of the scene in the middle of each movie, to look at."""
+    latest = scenes.where("slug is not null").dropDuplicates(["scene_id"]).select("slug", "scene_id", "scene_number", "heading", F.try_element_at("action_lines", F.lit(1)).alias("first_action"))
+    sizes = latest.groupBy("slug").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("slug").orderBy(F.asc_nulls_last("scene_number"), "scene_id")
+    placed = latest.withColumn("place", F.row_number().over(w)).join(sizes, "slug")
+    return placed.where(F.col("place") == F.floor(F.col("n") / 2) + 1).select("slug", "scene_id", "heading", "first_action")
+
+
+def ambiguous_by_metadata(manifest: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Files whose title more than one metadata record has."""
+    shared = latest_metadata(metadata).where("title is not null").groupBy(F.lower("title").alias("low")).agg(F.count("*").alias("n")).where("n > 1").select("low")
+    rows = manifest.select("slug", "title").distinct().withColumn("low", F.lower("title")).join(shared, "low", "left_semi")
+    return _issue(rows, "ambiguous_title", "INFO", F.col("title"))
+
+
 def audit(manifest: DataFrame, metadata: DataFrame, scenes: DataFrame, characters: DataFrame, ambiguous: list[str] = ()) -> DataFrame:
     """All checks."""
     parts = [missing_metadata(manifest, metadata), title_and_year(manifest, metadata), scene_checks(manifest, scenes), completeness(manifest, metadata), match_checks(characters, manifest), duplicates(manifest)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scenelake.functions import text as X
+from scenelake.operators import index as I
 from scenelake.operators import search as S
 
 CLIP_FIELDS = ("visual_description", "action", "emotional_tone", "thematic_connection", "subjects", "description")
@@ -38,6 +39,12 @@ def transcripts(movies: DataFrame) -> DataFrame:
     return rows.select("movie", "clip_id", F.col("c.concatenated_transcript").alias("content"), "c.youtube_link", "c.timestamp", "c.description").where("trim(content) <> ''")
 
 
+def save_transcripts(spoken: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store the sparse index of transcripts() under index 'dialogue', by movie and clip."""
+    rows = spoken.select(F.lit("dialogue").alias("index"), F.concat_ws("__", "movie", "clip_id").alias("doc_key"), F.col("content").alias("text"))
+    I.write_sparse(rows, path, mode, unicode=True)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """Old rows and new ones, a new row in the place of the old one with its key; of repeated new rows one."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new.dropDuplicates([key]))

@@ -606,6 +606,17 @@ def speaker_lines(spark, sf):
     return names.where("line is not null").distinct().select("line", X.is_speaker("line").alias("speaker"))
 
 
+_NOTE = r"\s{4,}\((?i:CHAKOBSA|PHONETIC|[A-Z]+ TRANSLATION)[^)]*\).*$"
+
+
+@query(_SPEAKER.split("FROM (SELECT DISTINCT screenplay_name")[0].replace("SELECT line, base <> ''", "SELECT scene_id, pos, CASE WHEN base <> ''").replace("AS speaker", "THEN '' ELSE base END AS line").replace("SELECT line, trim(regexp_replace(trim(line, ' '),", "SELECT scene_id, pos, line, trim(regexp_replace(trim(line, ' '),") + rf"""FROM (SELECT scene_id, pos, trim(regexp_split_to_array(regexp_replace(line, '{_NOTE}', ''), '\s{{8,}}')[1], ' ') AS line
+    FROM (SELECT DISTINCT scene_id, pos, d.line || '          ' || d.character || '     (FRENCH TRANSLATION)  x' AS line FROM (SELECT scene_id, generate_subscripts(dialogue, 1) - 1 AS pos, unnest(dialogue) AS d FROM scenes) WHERE d.line IS NOT NULL AND d.character IS NOT NULL AND NOT regexp_matches(d.line, '[\n\r]|\)\s*$'))))""")
+def dual_columns(spark, sf):
+    rows = read(spark, sf, "scenes").select("scene_id", F.posexplode("dialogue").alias("pos", "d")).where(r"d.line is not null and d.character is not null and not d.line rlike '[\\n\\r]|\\)\\s*$'")
+    line = F.concat(F.col("d.line"), F.lit("          "), F.col("d.character"), F.lit("     (FRENCH TRANSLATION)  x"))
+    return rows.select("scene_id", F.col("pos").cast("bigint").alias("pos"), line.alias("line")).distinct().select("scene_id", "pos", X.strip_dual_column("line").alias("line"))
+
+
 @query("""SELECT doc_id, count(*) AS kept, sum(line_no)::BIGINT AS places FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, solid ORDER BY line_no) - (solid > 0)::INT AS nth FROM (SELECT *, sum((line <> '')::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS solid FROM (SELECT doc_id, line_no, rtrim(line, ' ') AS line FROM """ + LINE_SQL + """))) WHERE line <> '' OR nth <= 2 GROUP BY doc_id""")
 def blank_runs(spark, sf):
     rows = _doc_lines(spark, sf).select("doc_id", "line_no", F.rtrim("line").alias("line"))
@@ -730,10 +741,15 @@ def audit_years(spark, sf):
     return issues.select(F.split("slug", "\t")[0].alias("slug"), F.split("slug", "\t")[1].alias("filename"))
 
 
-@query("SELECT DISTINCT 'ambiguous_title' AS \"check\", 'INFO' AS severity, slug, title AS message FROM manifest WHERE lower(title) IN (SELECT lower(title) FROM title_ref)")
+@query(f"SELECT DISTINCT 'ambiguous_title' AS \"check\", 'INFO' AS severity, slug, title AS message FROM manifest WHERE lower(title) IN (SELECT lower(title) FROM {LATEST_METADATA} GROUP BY 1 HAVING count(*) > 1)")
 def audit_ambiguous(spark, sf):
-    titles = [r["title"] for r in read(spark, sf, "title_ref").select("title").collect()]  # the fixed list of titles
-    return A.ambiguous_titles(read(spark, sf, "manifest"), titles)
+    return A.ambiguous_by_metadata(read(spark, sf, "manifest"), read(spark, sf, "metadata"))
+
+
+@query("""WITH l AS (SELECT scene_id, any_value(slug) AS slug, any_value(scene_number) AS scene_number, any_value(heading) AS heading, any_value(action_lines[1]) AS first_action FROM scenes WHERE slug IS NOT NULL GROUP BY scene_id),
+    p AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY scene_number NULLS LAST, scene_id) AS place, count(*) OVER (PARTITION BY slug) AS n FROM l) SELECT slug, scene_id FROM p WHERE place = n // 2 + 1""")
+def middle_scenes(spark, sf):
+    return A.middle_scenes(read(spark, sf, "scenes")).select("slug", "scene_id")
 
 
 @query("""WITH c AS (SELECT char_id, any_value(slug) AS slug, any_value(match_type) AS match_type, any_value(screenplay_name) AS name, any_value(scene_count) AS n FROM characters GROUP BY char_id),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -28,11 +30,17 @@ def session(app: str = "scenelake", cores: str = "*", **conf: str) -> SparkSessi
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, one of our own on a local master (tests), an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not at:
-        at = sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="scenelake-")
+        at = sc.getCheckpointDir()
+        if not at and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if not at:
+            folder = tempfile.mkdtemp(prefix="scenelake-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            at = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", at)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(at)
@@ -115,3 +123,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables of a data folder."""
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def env_bool(name: str, default: bool) -> bool:
+    """A switch from the environment: 1, true, yes and on in any case are true, anything else that is set is false."""
+    value = os.environ.get(name)
+    return default if value is None else value.strip().lower() in ("1", "true", "yes", "on")
+
+
+def env_int(name: str, default: int) -> int:
+    """A number from the environment; ValueError if it is none."""
+    value = os.environ.get(name)
+    return default if value is None else int(value)

@@ -110,7 +110,8 @@ def scenes(rows: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     # Blocks of action are parted by blank lines and speakers.
     body = body.withColumn("block", F.sum((blank | (F.coalesce("event", F.lit("")) == "C")).cast("int")).over(upto))
     text = F.trim("line")
-    said = body.where((F.col("state") == "C") & ~blank)
+    # Notes of a second column are taken out of speeches; a line that was nothing else goes.
+    said = body.where((F.col("state") == "C") & ~blank).withColumn("line", F.when(F.col("event").isNull(), X.strip_dual_column("line")).otherwise(F.col("line"))).where(F.trim("line") != "")
     speeches = said.groupBy("slug", "scene_number", "speech").agg(
         F.min("line_no").alias("at"), F.first(F.when(F.col("event") == "C", F.trim(F.regexp_replace(text, r"\s*\(.*?\)\s*$", ""))), True).alias("character"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("event").isNull() & ~paren, F.struct("line_no", text.alias("t"))))), lambda x: x["t"]), " ").alias("line"),
