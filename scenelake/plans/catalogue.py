@@ -800,7 +800,7 @@ def _clips(spark, sf) -> DataFrame:
 
 
 _UNPIVOT = f"""
-    WITH s AS (SELECT slug, scene_id, heading, array_to_string(list_filter(coalesce(action_lines, []), lambda x: coalesce(x, '') <> '')[1:2], ' ') AS act FROM {SCENES} WHERE slug IS NOT NULL),
+    WITH s AS (SELECT slug, scene_id, heading, array_to_string(list_filter(coalesce(action_lines, []), lambda x: coalesce(x, '') <> ''), ' ') AS act FROM {SCENES} WHERE slug IS NOT NULL),
     u AS (SELECT slug AS movie, scene_id AS clip_id, 'action' AS field_type, act AS content FROM s UNION ALL SELECT slug, scene_id, 'visual_description', heading FROM s UNION ALL SELECT slug, scene_id, 'description', heading FROM s
           UNION ALL SELECT DISTINCT slug, '', 'plot_summary', 'a story' FROM s UNION ALL SELECT DISTINCT slug, '', 'themes', 'x, y' FROM s)"""
 
