@@ -9,7 +9,7 @@ from scenelake.functions import text as X
 
 SCENE_INDICES = ("scene", "dialogue", "character", "full")
 INDICES = (*SCENE_INDICES, "plot")
-BUCKETS = 64  # folders of terms in a stored index; a query reads those of its terms
+BUCKETS = 16  # folders of terms in a stored index, of which a query reads those of its terms; Parquet statistics and splits narrow it further within a folder
 
 
 def scene_documents(scenes: DataFrame) -> DataFrame:
