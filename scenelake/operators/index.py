@@ -112,20 +112,25 @@ def hashed_vector(spark: SparkSession, text: str, width: int = 384) -> list[floa
 
 def hashed_vectors(docs: DataFrame, key: list[str], text: str = "text", width: int = 384) -> DataFrame:
     """(key..., vec): tokens hashed to `width` places with sign, length 1. Stands in where no embedding model is given."""
-    t = postings(docs, key, text)
-    place = F.pmod(F.xxhash64("term"), F.lit(width))
+    # Texts meet by key before their words part, so both counts below need no further shuffle.
+    words = tokenised(docs.select(*key, text).repartition(*key), key, text).select(*key, F.explode_outer("tokens").alias("term")).where("term is not null")
+    place = F.pmod(F.xxhash64("term"), F.lit(width)).cast("int")
     sign = F.when(F.pmod(F.xxhash64("term", F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    cells = t.select(*key, place.alias("place"), (sign * F.col("tf")).alias("x")).groupBy(*key, "place").agg(F.sum("x").alias("x"))
-    rows = cells.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("place", "x"))).alias("cells"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("cells", i.cast("bigint")), F.lit(0.0)))
-    return rows.select(*key, unit(raw).alias("vec"))
+    cells = words.select(*key, place.alias("place"), sign.alias("x")).groupBy(*key, "place").agg(F.sum("x").alias("x"))
+    rows = cells.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("place", "x"))).alias("cells"))
+    # Each cell with the zeros up to the next one: a pass over the cells instead of a search among them for every place.
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    ends = F.concat(F.expr("slice(cells.place, 2, size(cells))"), F.array(F.lit(width)))
+    filled = F.flatten(F.zip_with("cells", ends, lambda c, end: F.concat(F.array(c["x"]), zeros(end - c["place"] - 1))))
+    raw = rows.select(*key, F.concat(zeros(F.col("cells")[0]["place"]), filled).alias("raw"))
+    return raw.select(*key, unit("raw").alias("vec"))
 
 
 def unit(vector) -> "F.Column":
-    """A vector brought to length 1; the zero vector stays."""
+    """A vector brought to length 1; the zero vector stays. The length is bound to a name: written within the lambda it would be worked out for every element."""
     v = F.col(vector) if isinstance(vector, str) else vector
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    return F.transform(F.array(length), lambda norm: F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0))))[0]
 
 
 def dot(a, b):

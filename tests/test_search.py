@@ -1,5 +1,6 @@
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -61,6 +62,30 @@ def test_dense_and_similarity(spark):
     assert got == {1: (0.8, 0.9), 2: (1.0, 1.0), 3: (0.0, 0.5)}
 
 
+def test_hashed_vectors_by_hand_and_in_time(spark):
+    docs = spark.createDataFrame([(1, "cat cat dog"), (1, "dog"), (2, "?!"), (3, None), (None, "a b c d e")], "doc_key int, text string")
+    got = {r.doc_key: r.vec for r in I.hashed_vectors(docs, ["doc_key"], width=7).collect()}
+    terms = spark.createDataFrame([(t,) for t in "cat dog a b c d e".split()], "term string")
+    at = {r.term: (r.place, r.sign) for r in terms.select("term", F.expr("pmod(xxhash64(term), 7)").alias("place"), F.expr("if(pmod(xxhash64(term, 1), 2) = 0, 1, -1)").alias("sign")).collect()}
+    assert got.keys() == {1, None}
+    for key, words in ((1, "cat cat dog dog"), (None, "a b c d e")):
+        raw = [0] * 7
+        for w in words.split():
+            raw[at[w][0]] += at[w][1]
+        norm = math.sqrt(sum(x * x for x in raw))
+        assert got[key] == [x / norm if norm else 0.0 for x in raw]
+    many = spark.range(400).select(F.col("id").alias("doc_key"), F.expr("array_join(transform(sequence(1, 120), i -> concat('w', pmod(xxhash64(id, i), 5000))), ' ')").alias("text"))
+    began = time.monotonic()
+    assert I.hashed_vectors(many, ["doc_key"]).where("size(vec) = 384").count() == 400
+    many_vectors = I.hashed_vectors(many, ["doc_key"]).select(F.round(I.dot(F.col("vec"), F.col("vec")), 9).alias("n")).distinct().collect()
+    assert [r.n for r in many_vectors] == [1.0] and time.monotonic() - began < 60  # the length was worked out for every element: half a second a text
+
+
+def test_unit_of_nulls_and_zeros(spark):
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, None), (3, [0.0, 0.0]), (4, [])], "id int, v array<double>")
+    assert {r.id: r.u for r in rows.select("id", I.unit("v").alias("u")).collect()} == {1: [0.6, 0.8], 2: None, 3: [0.0, 0.0], 4: []}
+
+
 def test_rrf_by_hand(spark):
     lists = spark.createDataFrame([(0, 0, "a", 1), (0, 0, "b", 2), (0, 1, "b", 1), (0, 1, "c", 2)], "query_id int, list_no int, doc_key string, rank int")
     hits = S.fused_order(S.rrf(lists, ["query_id"]), ["query_id"]).orderBy("rank").collect()
