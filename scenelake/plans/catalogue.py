@@ -864,7 +864,8 @@ def retrieve_filtered(spark, sf):
 @query()
 def retrieve_hybrid(spark, sf):
     retriever = _retriever(spark, sf)
-    retriever.vectors = cut(I.hashed_vectors(retriever.docs, ["index", "doc_key"]))
+    # Not written: at 3 KB a row the vectors of all indices would be 20 times the tables; each search makes those of its index.
+    retriever.vectors = I.hashed_vectors(retriever.docs, ["index", "doc_key"])
     text = "a widow drops the brass compass under the lamp"
 
     retriever.embed = lambda words: I.hashed_vector(spark, words)

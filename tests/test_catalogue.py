@@ -1,6 +1,7 @@
 """Every query against its SQL on the smallest tables."""
 
 import os
+import time
 
 import duckdb
 import pytest
@@ -50,3 +51,12 @@ def test_clips_hold_every_action_line(spark, tmp_path):
     assert [r.content for r in rows] == ["One. Two. Three. The watchmaker lifts the lantern."]
     found = entry.queries()["video_query"](spark, str(tmp_path)).collect()
     assert [r.clip_id for r in found] == ["m_1"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_hybrid_retrieval_ends(spark):
+    entry.catalogue._retriever(spark, SF)
+    began = time.monotonic()
+    rows = entry.queries()["retrieve_hybrid"](spark, SF).collect()
+    assert time.monotonic() - began < 60  # each vector took half a second, of all five indices
+    assert sorted(r["rank"] for r in rows) == list(range(1, len(rows) + 1)) and rows
