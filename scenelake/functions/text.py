@@ -14,12 +14,12 @@ def _col(x) -> Column:
 
 def tokens_ascii(text) -> Column:
     """Lower-case words of a-z and 0-9; any other character parts words. Null gives null, '' an empty array."""
-    return F.filter(F.split(F.regexp_replace(F.lower(_col(text)), "[^a-z0-9 ]", " "), " +"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(_col(text)), "[^a-z0-9]+"), "")
 
 
 def tokens_unicode(text) -> Column:
     """Lower-case words of letters, digits and underscores of any script."""
-    return F.filter(F.split(F.lower(_col(text)), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(_col(text)), r"[^\p{L}\p{N}_]+"), "")
 
 
 def non_empty(array) -> Column:

@@ -41,8 +41,17 @@ def people_in_queries(people: DataFrame, queries: DataFrame, query_id: str = "qu
     pairs = known.join(small(words.select(F.col("part").alias("word")).distinct()), (F.length("word") >= F.col("size") * short) & (F.length("word") * short <= F.col("size")))
 
     def alike(batches):
+        known: dict[str, SequenceMatcher] = {}  # a word's letters are counted once; the words are the queries' and few for each task
         for batch in batches:
-            keep = [SequenceMatcher(None, a, b).ratio() >= threshold for a, b in zip(batch["part"], batch["word"])]
+            keep = []
+            for part, word in zip(batch["part"], batch["word"]):
+                if word not in known:
+                    if len(known) > 10_000:
+                        known.clear()
+                    known[word] = SequenceMatcher(None, "", word)
+                m = known[word]
+                m.set_seq1(part)
+                keep.append(m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold)  # the first two are upper bounds
             yield batch[pd.Series(keep, index=batch.index, dtype=bool)]
 
     close = pairs.mapInPandas(alike, pairs.schema).select("part", "word")

@@ -85,7 +85,8 @@ def write_sparse(docs: DataFrame, path: str, mode: str = "overwrite", unicode: b
     rows = docs.select("index", "doc_key", F.coalesce("text", F.lit("")).alias("text"))
     words = tokenised(rows, ["index", "doc_key"], "text", unicode)
     words.select("index", "doc_key", F.size("tokens").alias("dl")).write.mode(mode).parquet(f"{path}/lengths")
-    fresh = postings(rows, ["index", "doc_key"], "text", unicode).withColumn("bucket", bucket())
+    # Texts, which are smaller than their postings, meet by document; the counting needs no further shuffle then.
+    fresh = postings(rows.repartition("index", "doc_key"), ["index", "doc_key"], "text", unicode).withColumn("bucket", bucket())
     fresh.hint("rebalance", "index", "bucket").write.mode(mode).partitionBy("index", "bucket").parquet(f"{path}/postings")
     held = spark.read.parquet(f"{path}/postings")
     frequencies = held.groupBy("index", "bucket", "term").agg(F.count("*").alias("df"))

@@ -245,10 +245,11 @@ class Retriever:
 
         text = plan.rewrite or query
         filtered = allowed_ids(self.registry, plan.genre, plan.year_min, plan.year_max)
-        named = people_in_query(self.people, text) if self.people is not None else None
+        # Looked up once: each question about it below would compare the names anew.
+        named = cut(people_in_query(self.people, text).select("movie_id").distinct()) if self.people is not None else None
         allowed, by_person = filtered, False
         if named is not None and not named.isEmpty():
-            both = named.select("movie_id").distinct() if filtered is None else named.select("movie_id").distinct().join(filtered, "movie_id", "left_semi")
+            both = named if filtered is None else named.join(filtered, "movie_id", "left_semi")
             if not both.isEmpty():
                 allowed, by_person = both, True
         pairs = [(s["text"], s["intent"]) for s in plan.sub_queries] if plan.sub_queries else [(text, i) for i in plan.intents]
@@ -264,8 +265,9 @@ class Retriever:
             one = self._dense(asked) if dense else self._sparse(asked, pool)
             one = one.select("query_id", "index", "doc_key", "score")
             scored = one if scored is None else scored.unionByName(one)
-        movie_of = self.docs.select("index", "doc_key", "movie_id")
-        ranked = cut(top(scored, pool, ["query_id"]).join(movie_of, ["index", "doc_key"]).select(F.col("query_id").alias("list_no"), "doc_key", "movie_id", "score", "rank"))
+        movie_of = self.docs.where(F.col("index").isin(sorted({i for _, i in pairs}))).select("index", "doc_key", "movie_id")
+        # At most `pool` rows for each list of the plan, so the documents' keys stay where they lie.
+        ranked = cut(movie_of.join(F.broadcast(top(scored, pool, ["query_id"])), ["index", "doc_key"]).select(F.col("query_id").alias("list_no"), "doc_key", "movie_id", "score", "rank"))
 
         def run(limit: DataFrame | None) -> DataFrame:
             lists = keep_allowed(ranked, limit, ["list_no"]).withColumn("query_id", F.lit(0))

@@ -181,3 +181,36 @@ def test_retriever_opens_up_again(spark):
     assert r.retrieve(plan, "letter harbor", "bm25", 2).orderBy("rank").first().movie_id == "1"
     assert [x.movie_id for x in r.retrieve(QueryPlan("filtered", ["plot"], genre="War"), "letter harbor", "bm25", 2).orderBy("rank").collect()][0] == "2"
     assert r.retrieve(QueryPlan("negation", ["plot"], exclude_titles=["A"]), "letter harbor", "bm25", 2).orderBy("rank").first().movie_id != "1"
+
+
+def test_names_of_a_query_are_compared_once(spark, monkeypatch):
+    docs = spark.createDataFrame([("plot", "1", "1", "A", "a letter in the harbor"), ("plot", "2", "2", "B", "a letter from home")], "index string, doc_key string, movie_id string, heading string, text string")
+    reg = spark.createDataFrame([("1", "A", "1990", ["Drama"]), ("2", "B", "1991", ["War"])], "movie_id string, title string, year string, genres array<string>")
+    people = spark.createDataFrame([("Tom Hanks", "2", "actor")], "name string, movie_id string, role string")
+    passes = spark.sparkContext.accumulator(0)
+    found = N.people_in_query
+
+    def counted(table, text):
+        def each(batches):
+            for batch in batches:
+                passes.add(len(batch))
+                yield batch
+
+        rows = found(table, text)
+        return rows.mapInPandas(each, rows.schema)
+
+    monkeypatch.setattr(N, "people_in_query", counted)
+    hits = S.Retriever(docs, reg, people=people).retrieve(QueryPlan("filtered", ["plot"], genre="War"), "a letter to tom hanks", "bm25", 2)
+    assert [r.movie_id for r in hits.collect()] == ["2"]
+    assert passes.value == 1
+
+
+def test_likeness_of_names_is_the_ratio(spark):
+    from difflib import SequenceMatcher
+
+    parts = ["hanks", "henks", "hank", "shank", "silva", "sliva", "banks", "hanukas"]
+    people = spark.createDataFrame([(f"{p} {p}x", str(i), "actor") for i, p in enumerate(parts)], "name string, movie_id string, role string")
+    words = ["hanks", "hanksx", "silva", "silvax"]
+    got = {r.movie_id for r in N.people_in_query(people, " ".join(words)).collect()}
+    like = lambda a: any(SequenceMatcher(None, a, w).ratio() >= N.FUZZY for w in words)
+    assert got == {str(i) for i, p in enumerate(parts) if like(p) and like(p + "x")}
