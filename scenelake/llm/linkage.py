@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenelake import runtime
-from scenelake.llm.canonical import ORDINALS, distance
+from scenelake.llm.canonical import _NEAR, _VOWELS, ORDINALS, distance
 from scenelake.llm.names import normal
 
 CONFIDENCE = 0.3  # so that of two records that fit equally well, the more popular is given with less than half
@@ -40,26 +41,35 @@ LITTLE = frozenset("the a an of in ln 1n 0f from le la les l un une du de des d
 _ADDED = re.compile(r"(?i)[\s_.,(\[-]*\b(?:final|v\d+|\d(?:st|nd|rd|th)\s*draft|(?:first|second|third|shooting|final|revised)\s*(?:draft|script)|draft|screenplay|script|(?:clean\s*)?scan|rev(?:ised|ision)?\.?\s*(?:blue|pink|white|yellow|green)?|the movie|film|ocr|copy\d*)\b[\s)\]._-]*$")
 
 
+_LETTER, _HARD_C, _DOUBLED, _VOWEL = re.compile("[a-z]"), re.compile(r"c(?!h)"), re.compile(r"(.)\1+"), re.compile("[aeiou]")
+_DIGITS = str.maketrans("013457", "oieast")
+
+
+@lru_cache(maxsize=200_000)
 def fold(word: str) -> str:
     """A word without accents, with look-alike digits as letters and spellings of one sound made one."""
-    word = unicodedata.normalize("NFKD", word.casefold())
-    word = "".join(c for c in word if not unicodedata.combining(c))
-    if re.search("[a-z]", word):
-        word = word.translate(str.maketrans("013457", "oieast"))
+    word = word.casefold()
+    if not word.isascii():
+        word = "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+    if _LETTER.search(word):
+        word = word.translate(_DIGITS)
     for a, b in (("ph", "f"), ("ck", "k"), ("sch", "sh"), ("ou", "u"), ("oo", "u"), ("dj", "j"), ("qu", "k"), ("y", "i")):
         word = word.replace(a, b)
-    word = re.sub(r"c(?!h)", "k", word)
-    word = re.sub(r"(.)\1+", r"\1", word)
+    word = _HARD_C.sub("k", word)
+    word = _DOUBLED.sub(r"\1", word)
     return word[:-1] if len(word) > 4 and word.endswith("e") else word
 
 
 @lru_cache(maxsize=200_000)
 def bones(word: str) -> str:
     """The consonants of a folded word."""
-    return re.sub(r"(.)\1+", r"\1", re.sub("[aeiou]", "", fold(word)))
+    return _DOUBLED.sub(r"\1", _VOWEL.sub("", fold(word)))
 
 
 _LITTLE = frozenset(fold(w) for w in LITTLE)
+_DOT, _CUT, _WORD, _GENITIVE = re.compile(r"(?<=\S)[.](?=\S)"), re.compile(r"(?:\.{2,}|…|\w\.)\W*$"), re.compile(r"[^\W_]+"), re.compile(r"['’]s\b")
+_YEAR = re.compile(r"(?:^|[\s.(\[-])((?:19|20)\d\d)[)\]]?\W*$")
+_SUFFIX = re.compile(r"\.\w{2,5}$")
 
 
 class Parsed:
@@ -67,16 +77,16 @@ class Parsed:
 
     def __init__(self, text: str):
         text = unicodedata.normalize("NFKC", text or "").replace("_", " ").replace("&", " and ")
-        text = re.sub(r"(?<=\S)[.](?=\S)", " ", text)
+        text = _DOT.sub(" ", text)
         self.year = None
-        self.cut = bool(re.search(r"(?:\.{2,}|…|\w\.)\W*$", text))
+        self.cut = bool(_CUT.search(text))
         for _ in range(3):
-            m = re.search(r"(?:^|[\s.(\[-])((?:19|20)\d\d)[)\]]?\W*$", text)
+            m = _YEAR.search(text)
             if m:
                 self.year = int(m[1])
                 text = text[: m.start()]
             text = _ADDED.sub("", text)
-        words = [w for w in re.findall(r"[^\W_]+", re.sub(r"['’]s\b", "", text))]
+        words = _WORD.findall(_GENITIVE.sub("", text))
         self.sequel = 1
         kept = []
         for i, w in enumerate(words):
@@ -108,7 +118,33 @@ class Reader:
 
     def of_file(self, name: str, title: str | None) -> list[Parsed]:
         """What the uploader's title and the file name say."""
-        return [self(title), self(re.sub(r"\.\w{2,5}$", "", name).replace("-", " "))]
+        return [self(title), self(_SUFFIX.sub("", name).replace("-", " "))]
+
+
+@lru_cache(maxsize=200_000)
+def _letters(word: str) -> tuple[dict[str, int], dict[str, float]]:
+    """How often each letter stands in a word, and the least that losing one costs if no near letter can take its place."""
+    counts = Counter(word)
+    twice = {x for x, y in zip(word, word[1:]) if x == y}
+    return counts, {x: 0.5 if x in twice else 0.6 if x in _VOWELS else 1.0 for x in counts}
+
+
+_CLOSE: dict[str, frozenset[str]] = {x: frozenset(y for pair in _NEAR if x in pair for y in pair) - {x} for x in frozenset().union(*_NEAR)}
+
+
+def least_distance(a: str, b: str) -> float:
+    """A lower bound of distance(): a letter that one word has more often than the other must be swapped, dropped or added there."""
+    (x, lost), (y, gained) = _letters(a), _letters(b)
+    sums = []
+    for mine, costs, others in ((x, lost, y), (y, gained, x)):
+        total = 0.0
+        for letter, n in mine.items():
+            n -= others.get(letter, 0)
+            if n > 0:
+                near = _CLOSE.get(letter)
+                total += n * (0.5 if near and not near.isdisjoint(others) else costs[letter])
+        sums.append(total)
+    return max(sums)
 
 
 @lru_cache(maxsize=400_000)
@@ -119,6 +155,9 @@ def word_likeness(a: str, b: str) -> float:
     x, y = bones(a), bones(b)
     if x == y and len(x) >= 2 and (len(x) >= 3 or a == x or b == y):
         return 0.9
+    # Most pairs differ in more letters than any rule below allows; the sums are rounded, so the bounds are a little wider.
+    if least_distance(a, b) > 2.2001 and (min(len(x), len(y)) < 4 or least_distance(x, y) > 1.0001):
+        return 0.0
     d = distance(a, b, 2.5)
     if d <= 1.2 and min(len(a), len(b)) >= 3:
         return 0.85
@@ -316,10 +355,15 @@ def frequent_words(films: DataFrame, read: Reader) -> frozenset[str]:
 def levels(batch: pd.DataFrame, read: Reader, common: frozenset[str]) -> tuple[list[int], list[int]]:
     """Levels of title and year of each row's file and record."""
     titles, years = [], []
+    # A file and a record have many pairs in a batch; what they say is gathered once.
+    files, films = {}, {}
     for name, title, a, b, released in zip(batch["filename"], batch["title"], batch["film_title"], batch["film_original"], batch["released"]):
-        mine = read.of_file(name, title)
-        theirs = {(tuple(y.words), y.sequel): y for x in (a, b) if x for y in [read(x)]}.values()
-        own = {(tuple(x.words), x.sequel, x.cut): x for x in mine if x.words}.values()
+        if (name, title) not in files:
+            said = read.of_file(name, title)
+            files[name, title] = said, list({(tuple(x.words), x.sequel, x.cut): x for x in said if x.words}.values())
+        if (a, b) not in films:
+            films[a, b] = list({(tuple(y.words), y.sequel): y for x in (a, b) if x for y in [read(x)]}.values())
+        (mine, own), theirs = files[name, title], films[a, b]
         found = [title_level(x, y, common) for x in own for y in theirs]
         titles.append(0 if found and min(found) == 0 and any(m.sequel > 1 for m in mine) and max(found) < 3 else max(found, default=1))
         year = next((m.year for m in reversed(mine) if m.year), None)

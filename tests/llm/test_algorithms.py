@@ -266,3 +266,22 @@ def test_joins_give_the_profiles_that_a_task_gives(spark):
         return sorted((s, sorted(g)) for (s, _), g in found.items())
 
     assert groups(0) == groups(1000)
+
+
+def test_words_far_apart_are_not_measured(monkeypatch):
+    import random
+
+    from scenelake.llm import canonical, linkage
+
+    rng = random.Random(7)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 8)))
+    for letters in ("abc", "aeiouvwnmks", "abcdefghijklmnopqrstuvwxyz0145"):
+        for a, b in ((word(letters), word(letters)) for _ in range(1500)):
+            assert linkage.least_distance(a, b) <= canonical.distance(a, b, 99.0) + 1e-9
+    measured = []
+    monkeypatch.setattr(linkage, "distance", lambda a, b, most: measured.append((a, b)) or canonical.distance(a, b, most))
+    linkage.word_likeness.cache_clear()
+    assert [linkage.word_likeness(a, b) for a, b in (("skufrek", "hidlopt"), ("brahuk", "dempins"), ("lantern", "vrobdis"))] == [0.0] * 3
+    assert measured == []
+    assert linkage.word_likeness("lantern", "lamtern") == 0.85 and measured
+    linkage.word_likeness.cache_clear()
